@@ -38,18 +38,18 @@ def hierarchy(links: DataFrame, peel_rounds: int = PEEL_ROUNDS) -> DataFrame:
     peeled: list[DataFrame] = []
     left = n
     while left and len(peeled) < peel_rounds:
-        # one grouping finds both: nodes without children left, and what children gave to those that stay
-        children = alive.filter(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("children"))
-        leaves = tables.table(alive.join(children, "node", "left_anti"), f"peel{len(peeled)}")
-        taken = leaves.row_count
-        if not taken:  # nothing but circles is left
+        # one grouping and one written table a round: who has no child left, among those that the last round left
+        children = alive.filter(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("node")).agg(F.lit(True).alias("has_child"))
+        marked = tables.table(alive.join(children, "node", "left").withColumn("leaf", F.col("has_child").isNull()).drop("has_child"), f"peel{len(peeled)}")
+        leaves, stay = marked.filter("leaf").drop("leaf"), marked.filter("not leaf").drop("leaf")
+        sent = leaves.filter(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("node")).agg(F.sum("size").alias("sent"))
+        alive = stay.join(sent, "node", "left").select("node", "parent", (F.col("size") + F.coalesce("sent", F.lit(0))).alias("size"))
+        before, left = left, marked.row_count and stay.count()
+        if left == before:  # nothing but circles is left
             break
         peeled.append(leaves)
-        left -= taken
-        sent = leaves.filter(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("node")).agg(F.sum("size").alias("sent"))
-        rest = alive.join(children.select("node"), "node", "left_semi").join(sent, "node", "left")
-        before, alive = alive, tables.table(rest.select("node", "parent", (F.col("size") + F.coalesce("sent", F.lit(0))).alias("size")), "alive")
-        tables.drop(before)
+    if left:
+        alive = tables.table(alive, "alive")
 
     done = _tall(alive, left, tables) if left else None
     empty = spark.createDataFrame([], "node bigint, parent bigint, path array<bigint>, subtree bigint, cycle bigint")
@@ -61,7 +61,6 @@ def hierarchy(links: DataFrame, peel_rounds: int = PEEL_ROUNDS) -> DataFrame:
         found = found.select("node", "parent", path.alias("path"), F.when(F.col("cycle").isNull(), F.col("size")).alias("subtree"), "cycle")
         found = tables.table(found, "paths")
         parts.append(found)
-        tables.drop(leaves)
         known = known.unionByName(found.select(F.col("node").alias("parent"), "path", "cycle"))
     out = parts[0]
     for p in parts[1:]:
