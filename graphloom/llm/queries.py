@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import hidden_copies, match_groups
+from graphloom.llm import byte_bpe, hidden_copies, match_groups
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,7 +24,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_groups.name_groups(_read(spark, sf_dir, "examples"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_links, p3_found)}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.token_ids(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_links, p3_found, p6_ids)}
 
 _PLAIN = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
 _LINKS = f"""links AS (
