@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import byte_bpe, hidden_copies, match_groups
+from graphloom.llm import byte_bpe, hidden_copies, leakage, match_groups
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,7 +28,20 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.token_ids(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_links, p3_found, p6_ids)}
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(*(_read(spark, sf_dir, t) for t in ("documents", "eval_items", "stock_phrases")))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cases with the place of the repeated stretch in the original text."""
+    return _leaks(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_links, p3_found, p6_ids, p7_found, p7_spans)}
 
 _PLAIN = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
 _LINKS = f"""links AS (
