@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import byte_bpe, hidden_copies, leakage, match_groups
+from graphloom.llm import byte_bpe, hidden_copies, leakage, match_groups, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,7 +41,21 @@ def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_links, p3_found, p6_ids, p7_found, p7_spans)}
+def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of each text."""
+    return quality.text_statistics(_read(spark, sf_dir, "documents"))
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics with the outlier score within the language and its rank."""
+    return quality.outlier_scores(_read(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.no_prose(_read(spark, sf_dir, "documents")).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_links, p3_found, p6_ids, p7_found, p7_spans, p8_stats, p8_scores, p8_found)}
 
 _PLAIN = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
 _LINKS = f"""links AS (
