@@ -12,7 +12,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _local: str | None = None
@@ -49,15 +49,17 @@ class Scratch:
         except Exception:  # the session may be gone; the cluster's folder is then swept by its owner
             pass
 
-    def table(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write df and return it as read from its files; its number of rows, counted while writing, is in ``row_count``."""
+    def table(self, df: DataFrame, name: str = "t", **metrics: Column) -> DataFrame:
+        """Write df and return it as read from its files. Its number of rows and further aggregates, all taken while
+        writing and not by another job, are in ``row_count`` and ``metrics``."""
         self._next += 1
         place = f"{self.folder}/{self._next:03d}-{name}"
         seen = Observation()
         with released_shuffles(self.spark):
-            df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(place)
+            df.observe(seen, F.count(F.lit(1)).alias("_n"), *(c.alias(k) for k, c in metrics.items())).write.mode("overwrite").parquet(place)
         out = self.spark.read.schema(df.schema).parquet(place)
-        out._graphloom_place, out.row_count = place, seen.get["n"]
+        out._graphloom_place, out.metrics = place, dict(seen.get)
+        out.row_count = out.metrics.pop("_n")
         return out
 
     def drop(self, *tables: DataFrame) -> None:
