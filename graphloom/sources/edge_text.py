@@ -29,7 +29,7 @@ def strict_edges(lines: DataFrame, delimiter: str = ",", regex: bool = True) ->
     """
     literal = not regex or delimiter.startswith("\\x") or delimiter == "\\t"
     pattern = re.escape(decode(delimiter)) if literal else delimiter
-    fields = F.transform(F.split("value", pattern), F.trim)
+    fields = F.transform(F.split("value", pattern), lambda x: F.regexp_replace(x, r"^[\x00-\x20]+|[\x00-\x20]+$", ""))
     # as many fields as there are up to the last one that is not empty
     count = F.aggregate(F.transform(fields, lambda x, i: F.when(x != "", i + 1).otherwise(0)), F.lit(0), lambda a, x: F.greatest(a, x))
     rows = lines.withColumn("_f", fields).withColumn("_n", count)
