@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.balance import lookup
 from graphloom.functions.names import plain_form
+from graphloom.graph import dense_ranks, encode
 from graphloom.scratch import Scratch
 
 #: Stripping goes on while a round removes at least this share of the edges; then the core is contracted.
@@ -34,29 +35,34 @@ def groups(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
 
     Links are undirected; repeated links and links of a vertex to itself are allowed (the latter only make the vertex
     known), links with a null end are ignored. Works for any ordered key type. An empty table gives an empty result.
+    """
+    tables = Scratch(links.sparkSession, "groups")
+    rooted = tables.table(roots(links, tables, left, right), "rooted")
+    least = rooted.groupBy("root").agg(F.min("v").alias("group"))
+    return lookup(rooted, least, "root", rooted.row_count, "v", "inner").select("v", "group")
+
+
+def roots(links: DataFrame, tables: Scratch, left: str = "a", right: str = "b") -> DataFrame:
+    """v, root: every vertex with one vertex of its group, the same for all of the group.
+
     All groupings are pre-aggregated to one row a vertex or edge; joins on vertices are salted where one is hot;
-    edges are removed by joining on both ends, so a hub's edges never meet in one task.
+    edges are removed by their own key, so a hub's edges never meet in one task.
     """
-    spark = links.sparkSession
-    tables = Scratch(spark, "groups")
     pairs = links.select(F.col(left).alias("x"), F.col(right).alias("y")).dropna().select(*_edge(F.col("x"), F.col("y"))).distinct()
-    pairs = tables.table(pairs, "pairs")
-    selves = pairs.filter("a = b").select(F.col("a").alias("v"))
-    edges = pairs.filter("a <> b")
-    n = first = edges.count()
+    pairs = tables.table(pairs, "pairs", loops=F.count(F.when(F.col("a") == F.col("b"), 1)))
+    edges, n = pairs.filter("a <> b"), pairs.row_count - pairs.metrics["loops"]
     removed: list[DataFrame] = []
-    r, gain = 0, 1.0
+    gain = 1.0
     while n and gain >= WORTH_STRIPPING:
-        gone, edges_next = _strip(edges, r, tables)
-        r += 1
+        gone, rest = _strip(edges, len(removed), tables)
         removed.append(gone)
-        gain, n, edges = 1 - edges_next.row_count / n, edges_next.row_count, edges_next
+        gain, n, edges = 1 - rest.row_count / n, rest.row_count, rest
     while n:
-        gone, edges = _contract(edges, r, n, tables)
-        r += 1
+        gone, edges = _contract(edges, len(removed), n, tables)
         removed.append(gone)
         n = edges.row_count
 
+    selves = pairs.filter("a = b").select(F.col("a").alias("v"), F.col("a").alias("root"))
     labels = None
     for gone in reversed(removed):
         if labels is None:
@@ -64,16 +70,15 @@ def groups(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
         else:
             known = labels.select(F.col("v").alias("to"), "root")
             found = lookup(gone, known, "to", gone.row_count, "v").select("v", F.coalesce("root", "to").alias("root"))
-        found = tables.table(found, "labels")
+            found = tables.table(found, "labels")
         labels = found if labels is None else labels.unionByName(found)
     if labels is None:
-        return selves.select("v", F.col("v").alias("group"))
-    # the vertices that were never removed are the roots; those known only by links to themselves are missing still
+        return selves
+    # vertices that were never removed are the roots; those known only by links to themselves are missing still
     out = labels.unionByName(labels.select(F.col("root").alias("v"), "root").distinct())
-    least = out.groupBy("root").agg(F.min("v").alias("group"))
-    out = lookup(out, least, "root", 2 * first, "v", "inner").select("v", "group")
-    alone = selves.join(_both(pairs.filter("a <> b")).select("v").distinct(), "v", "left_anti")
-    return out.unionByName(alone.select("v", F.col("v").alias("group")))
+    if not pairs.metrics["loops"]:
+        return out
+    return out.unionByName(selves.join(out.select("v"), "v", "left_anti"))
 
 
 def _strip(edges: DataFrame, r: int, tables: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -125,6 +130,23 @@ def _contract(edges: DataFrame, r: int, n: int, tables: Scratch) -> tuple[DataFr
 
 def name_groups(df: DataFrame, left: str = "c0", right: str = "c1") -> DataFrame:
     """name, group_name: the groups of the plain forms of two name columns. Rows with a null name, or one without any
-    letter or digit, are left out; the smallest name is by code points."""
-    links = df.select(plain_form(left).alias("a"), plain_form(right).alias("b")).filter("a <> '' and b <> ''")
-    return groups(links).select(F.col("v").alias("name"), F.col("group").alias("group_name"))
+    letter or digit, are left out; the smallest name is by code points.
+
+    The reduction runs on numbers: 64-bit hashes of the names, if no two names share one, else dense ranks. Names are
+    read again only to name the groups.
+    """
+    tables = Scratch(df.sparkSession, "names")
+    plain = df.select(plain_form(left).alias("x"), plain_form(right).alias("y")).filter("x <> '' and y <> ''")
+    plain = tables.table(plain, "plain")
+    names = plain.select(F.explode(F.array("x", "y")).alias("name")).distinct().withColumn("v", F.xxhash64("name"))
+    names = tables.table(names, "names")
+    if names.select("v").distinct().count() == names.row_count:
+        links = plain.select(F.xxhash64("x").alias("a"), F.xxhash64("y").alias("b"))
+    else:
+        numbers = tables.table(dense_ranks(names.select("name"), ["name"], tables).withColumnRenamed("id", "v"), "numbers")
+        edges = plain.select(F.col("x").alias("src"), F.col("y").alias("dst"), F.lit(1).alias("weight"))
+        links = encode(edges, numbers.withColumnRenamed("v", "id"), plain.row_count).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+        names = numbers
+    rooted = tables.table(names.join(roots(links, tables), "v").select("name", "root"), "rooted")
+    least = rooted.groupBy("root").agg(F.min("name").alias("group_name"))
+    return lookup(rooted, least, "root", rooted.row_count, "name", "inner").select("name", "group_name")
