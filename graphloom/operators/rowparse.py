@@ -34,7 +34,8 @@ def _up_to(most: int) -> str:
     for i, d in enumerate(digits):
         if d != "0":
             alternatives.append(f"{digits[:i]}[0-{int(d) - 1}][0-9]{{{len(digits) - i - 1}}}")
-    return f"0*+(?:{'|'.join([*alternatives, digits])})"
+    some = f"(?:{'|'.join([*alternatives, digits])})"
+    return f"(?:0++{some}?|{some})"
 
 
 @dataclass(frozen=True)

@@ -5,6 +5,42 @@ from __future__ import annotations
 PLAIN = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
 _C0 = PLAIN.format("c0")
 
+
+
+def _rows(sep: str) -> str:
+    """Three CASE branches' worth of patterns for one separator, in plain (non-possessive) form."""
+    spaces = "".join(f"\\x{ord(c):02x}" for c in " \t\r" if c != sep)
+    at, bad = f"\\x{ord(sep):02x}", r"\x00-\x1f\x7f\x{fffd}"
+    some = f'(?:[{spaces}]*"(?:[^"]|"")*"[{spaces}]*|[^"{at}]*)'
+    plain, quoted = f'[^"{at}{bad}]', f'(?:[^"{bad}]|"")'
+    bare, marked = f'[^" {at}{bad}]', f'(?:[^" {bad}]|"")'
+    name = f'(?:[{spaces}]*{bare}(?:{plain}*{bare})?[{spaces}]*|[{spaces}]*"[{spaces}]*{marked}(?:{quoted}*{marked})?[{spaces}]*"[{spaces}]*)'
+    number = f'(?:[{spaces}]*-?[0-9]+[{spaces}]*|[{spaces}]*"[{spaces}]*-?[0-9]+[{spaces}]*"[{spaces}]*)'
+    whole = lambda p: "'^(?:" + p.replace("'", "''") + ")$'"
+    third = f"trim(regexp_extract(line, {whole(f'{name}[{at}]{name}[{at}]({number})')}, 1, 's'), '\" ' || chr(9) || chr(13))"
+    return f"""CASE WHEN NOT regexp_matches(line, {whole(f'{some}(?:[{at}]{some})*')}, 's') THEN 'quoting'
+        WHEN NOT regexp_matches(line, {whole(f'{some}(?:[{at}]{some}){{1,2}}')}, 's') THEN 'columns'
+        WHEN regexp_matches(line, {whole(f'{name}[{at}]{name}')}, 's') THEN NULL
+        WHEN regexp_matches(line, {whole(f'{name}[{at}]{name}[{at}]{number}')}, 's') AND TRY_CAST({third} AS BIGINT) IS NOT NULL THEN NULL
+        ELSE 'value' END"""
+
+
+_DELIMS = {",": ",", ";": ";", "|": "|", "\t": "\t", "\\x01": "\x01"}
+_REASON = "CASE " + " ".join(f"WHEN delim = {'chr(9)' if d == chr(9) else repr(d).replace(chr(92) * 2, chr(92))} THEN {_rows(s)}" for d, s in _DELIMS.items()) + " END"
+
+_TREE = """
+    last AS MATERIALIZED (SELECT vertex_id, lower(trim(name)) AS own, community, lower(trim(communityName)) AS of FROM (
+        SELECT *, row_number() OVER (PARTITION BY vertex_id ORDER BY recorded_at DESC NULLS LAST, row_id DESC) AS k FROM louvaindata WHERE vertex_id IS NOT NULL) t WHERE k = 1),
+    named AS MATERIALIZED (SELECT own, min(vertex_id) AS id FROM last WHERE own IS NOT NULL GROUP BY own),
+    up AS MATERIALIZED (SELECT l.vertex_id AS id, CASE WHEN coalesce(d.vertex_id, n.id) <> l.vertex_id THEN coalesce(d.vertex_id, n.id) END AS parent FROM last l
+        LEFT JOIN last d ON d.vertex_id = l.community AND l.community <> -1
+        LEFT JOIN named n ON n.own = l.of AND coalesce(l.community, -1) = -1),
+    down(id, path) AS (SELECT id, CAST(id AS VARCHAR) FROM up WHERE parent IS NULL UNION ALL SELECT u.id, d.path || '/' || u.id FROM up u JOIN down d ON d.id = u.parent),
+    lost AS MATERIALIZED (SELECT id, parent FROM up WHERE id NOT IN (SELECT id FROM down)),
+    over(id, a) AS (SELECT id, parent FROM lost UNION SELECT o.id, l.parent FROM over o JOIN lost l ON l.id = o.a),
+    ring AS (SELECT o.id, min(o.a) AS cycle FROM over o WHERE o.a IN (SELECT id FROM over WHERE id = a) GROUP BY o.id)"""
+_TREE = _TREE.replace(" over(", " above(").replace("FROM over ", "FROM above ")
+
 ORACLES = {
     "p2_found": f"""
         SELECT name, line_id FROM (
@@ -21,4 +57,14 @@ ORACLES = {
     "p2_median": f"""
         SELECT name, quantile_disc(c2, 0.5) AS median FROM (SELECT {_C0} AS name, c2 FROM examples WHERE c0 IS NOT NULL AND c2 IS NOT NULL) t
         WHERE name <> '' GROUP BY name""",
+    "p4_found": f"SELECT raw_id, reason FROM (SELECT raw_id, {_REASON} AS reason FROM examples_raw) t WHERE reason IS NOT NULL",
+    "p5_found": f"""WITH RECURSIVE {_TREE}
+        SELECT id AS vertex_id, path FROM down UNION ALL SELECT id, 'cycle ' || cycle FROM ring""",
+    "p5_tree": f"""WITH RECURSIVE {_TREE}, w AS MATERIALIZED (SELECT id, [CAST(x AS BIGINT) FOR x IN string_split(path, '/')] AS way FROM down),
+        s AS (SELECT a, count(*) AS n FROM (SELECT unnest(way) AS a FROM w) t GROUP BY a)
+        SELECT w.id AS vertex_id, w.way[1] AS root, CAST(len(w.way) - 1 AS INTEGER) AS depth, s.n AS subtree, CAST(NULL AS BIGINT) AS cycle FROM w JOIN s ON s.a = w.id
+        UNION ALL SELECT id, NULL, NULL, NULL, cycle FROM ring""",
+    "p5_descendants": f"""WITH RECURSIVE {_TREE}, w AS (SELECT id, [CAST(x AS BIGINT) FOR x IN string_split(path, '/')] AS way FROM down),
+        x AS (SELECT id, way, unnest(generate_series(1, len(way) - 1)) AS i FROM w)
+        SELECT way[i] AS ancestor, id AS descendant, CAST(len(way) - i AS INTEGER) AS distance FROM x""",
 }

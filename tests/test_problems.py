@@ -126,7 +126,7 @@ def test_parse_rows_against_brute_force(spark):
     rng = random.Random(3)
     seps = [",", ";", "|", "\t", "\\x01", "\x01", " ", "#", "é", "\\x41"]
     fixed = ["", ",", "a,b", "a,b,", "a,b,5,6", ' "a,b" , c , -0012 ', '"a""b",c', '"a"b",c', 'a"b,c', '"a,b', "a,b,9223372036854775807",
-             "a,b,9223372036854775808", "a,b,-9223372036854775808", "a,b,-9223372036854775809", "a,b," + "0" * 300 + "7", "a,b,+1", "a,b,1.0",
+             "a,b,9223372036854775808", "a,b,-9223372036854775808", "a,b,-9223372036854775809", "a,b," + "0" * 300 + "7", "a,b,+1", "a,b,1.0", "a,b,0", "a,b,-0", "a,b,000",
              'a,b,"12"', 'a,b," 12 "', '"",b', '" ",b', '"""",b', "a\x00,b", "a�,b", "a,b\n", "a,b,1\n", "x" * 200_000 + ",b", '"' + '""' * 100_000 + '",b',
              "\ta\r,\tb\r", "a,b,-", "a,b,٣"]
     rows = [(line, ",") for line in fixed] + [(None, ","), ("a,b", None), ("a,b", ""), ("a,b", ",,")]
