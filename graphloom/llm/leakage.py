@@ -162,7 +162,8 @@ def extend(item: Item, i: int, stream: str, at: int, bounds: list[int]) -> tuple
 def _reach(item: Item, i: int, stream: str, at: int, bounds: list[int], way: int) -> list[tuple[int, int]]:
     """For 0, 1, ... edits: the most counting words that can be had in one direction, and where they end in the stream.
 
-    A stretch may end only where a word of the text does, so that no word counts that merely begins alike.
+    A stretch ends with an unchanged word, and only where a word of the text ends too, so that no word counts that
+    merely begins alike.
     """
     words, counts, n, size = item.words, item.counts, len(item.words), len(stream)
     best = [(0, at)] * (MOST_EDITS + 1)
@@ -172,9 +173,10 @@ def _reach(item: Item, i: int, stream: str, at: int, bounds: list[int], way: int
         if (i, p, edits) in seen:
             continue
         seen.add((i, p, edits))
+        matched = False
         while True:
             k = bisect_left(bounds, p)
-            if got > best[edits][0] and k < len(bounds) and bounds[k] == p:
+            if matched and got > best[edits][0] and k < len(bounds) and bounds[k] == p:
                 for e in range(edits, MOST_EDITS + 1):
                     if got > best[e][0]:
                         best[e] = (got, p)
@@ -184,7 +186,7 @@ def _reach(item: Item, i: int, stream: str, at: int, bounds: list[int], way: int
             w = words[j]
             if not (stream.startswith(w, p) if way > 0 else stream.endswith(w, 0, p)):
                 break
-            got, p, i = got + counts[j], p + way * len(w), i + way
+            got, p, i, matched = got + counts[j], p + way * len(w), i + way, True
         if edits < MOST_EDITS:
             j = i if way > 0 else i - 1
             if way > 0:

@@ -128,19 +128,19 @@ def _contract(edges: DataFrame, r: int, n: int, tables: Scratch) -> tuple[DataFr
     return gone, out
 
 
-def name_groups(df: DataFrame, left: str = "c0", right: str = "c1") -> DataFrame:
+def name_groups(df: DataFrame, left: str = "c0", right: str = "c1", dense: bool = False) -> DataFrame:
     """name, group_name: the groups of the plain forms of two name columns. Rows with a null name, or one without any
     letter or digit, are left out; the smallest name is by code points.
 
-    The reduction runs on numbers: 64-bit hashes of the names, if no two names share one, else dense ranks. Names are
-    read again only to name the groups.
+    The reduction runs on numbers: 64-bit hashes of the names, if no two names share one, else (or if ``dense`` is set)
+    dense ranks. Names are read again only to name the groups.
     """
     tables = Scratch(df.sparkSession, "names")
     plain = df.select(plain_form(left).alias("x"), plain_form(right).alias("y")).filter("x <> '' and y <> ''")
     plain = tables.table(plain, "plain")
     names = plain.select(F.explode(F.array("x", "y")).alias("name")).distinct().withColumn("v", F.xxhash64("name"))
     names = tables.table(names, "names")
-    if names.select("v").distinct().count() == names.row_count:
+    if not dense and names.select("v").distinct().count() == names.row_count:
         links = plain.select(F.xxhash64("x").alias("a"), F.xxhash64("y").alias("b"))
     else:
         numbers = tables.table(dense_ranks(names.select("name"), ["name"], tables).withColumnRenamed("id", "v"), "numbers")

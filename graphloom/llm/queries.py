@@ -69,4 +69,12 @@ ORACLES = {
         SELECT keep_id, line_id AS copy_id FROM k WHERE line_id > keep_id""",
     "p1_links": f"""
         WITH {_LINKS} SELECT min(line_id) AS keep_id, count(*) AS n_copies FROM links GROUP BY lo, hi""",
+    "p3_found": f"""
+        WITH RECURSIVE {_LINKS}, e AS MATERIALIZED (SELECT DISTINCT lo AS a, hi AS b FROM links UNION SELECT hi, lo FROM links),
+        g(name, group_name) USING KEY (name) AS (
+            SELECT a, min(b) FROM (SELECT a, b FROM e UNION ALL SELECT a, a FROM e) t GROUP BY a
+          UNION
+            SELECT e.b, min(g.group_name) FROM g JOIN e ON e.a = g.name JOIN recurring.g k ON k.name = e.b
+            GROUP BY e.b HAVING min(g.group_name) < min(k.group_name))
+        SELECT name, group_name FROM g""",
 }
