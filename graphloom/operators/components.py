@@ -22,22 +22,23 @@ def components(edges: DataFrame, label: str = "max") -> DataFrame:
     tables = Scratch(edges.sparkSession, "components")
     ends = edges.select("src", "dst").dropna()
     nodes = distinct_nodes(ends)
-    links = tables.table(ends.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "links")
-    mark = None
+    links = ends.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
+    mark = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    links = tables.table(links, "links", mark=mark)
     while links.row_count:
         both = links.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = lookup(both.filter("v > u"), least, "u", 2 * links.row_count, "v", "inner").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = tables.table(large, "large")
+        large = tables.table(large, "large", mark=mark)
+        # nothing moved, and every node has one link: all components are stars around their least node
+        if (large.row_count, large.metrics["mark"]) == (links.row_count, links.metrics["mark"]) and large.select("u").distinct().count() == large.row_count:
+            break
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = lookup(large, least, "u", large.row_count, "v", "inner")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        seen = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        small = tables.table(small, "links", seen=seen)
+        small = tables.table(small, "links", mark=mark)
         tables.drop(links, large)
-        before, mark, links = mark, (small.row_count, small.metrics["seen"]), small
-        if mark == before:
-            break
+        links = small
     roots = nodes.join(links.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
     if label == "min":
         return roots.select("id", F.col("root").alias("component"))
