@@ -141,6 +141,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> str:
             for i, lv in enumerate(found.levels):
                 text.write(text.community_vertex_lines(lv.vertices, lv.edges), f"{out}/stage_{i}")
                 text.write(spark.createDataFrame([(str(lv.q),)], "value string"), f"{out}/_q_{i}", single=True)
+            text.write(spark.createDataFrame([(str(found.levels[-1].q),)], "value string"), f"{out}/_COMPLETE", single=True)
             if len(found.levels) > 1:
                 text.write(text.dendrogram_lines(louvain.dendrogram([lv.vertices for lv in found.levels])), f"{out}/table")
     log.info("Time in seconds: %.1f", time.time() - began)

@@ -76,6 +76,9 @@ def encode(edges: DataFrame, dictionary: DataFrame, rows: int) -> DataFrame:
     return out.select(F.col("_s").alias("src"), F.col("_d").alias("dst"), "weight")
 
 
-def subgraph(edges: DataFrame, keep: DataFrame) -> DataFrame:
-    """The edges both of whose ends are among the ids of keep."""
-    return edges.join(keep.select(F.col("id").alias("src")), "src", "left_semi").join(keep.select(F.col("id").alias("dst")), "dst", "left_semi").select(*edges.columns)
+def subgraph(edges: DataFrame, keep: DataFrame, rows: int) -> DataFrame:
+    """The edges both of whose ends are among the ids of keep, which are unique; hubs are salted."""
+    from graphloom.balance import lookup
+
+    out = lookup(edges, keep.select(F.col("id").alias("src")), "src", rows, "dst", "inner")
+    return lookup(out, keep.select(F.col("id").alias("dst")), "dst", rows, "src", "inner").select(*edges.columns)

@@ -5,20 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.graph import distinct_nodes
+from graphloom.graph import distinct_nodes, out_degree, subgraph
 from graphloom.scratch import Scratch
 
 
 def leaf_compression(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """The edges (all columns) of the largest subgraph in which every node has at least two edges out, parallel ones
-    counted. Each round keeps edges whose ends both have two ways out; the edge's ends are looked up by semi joins on
-    pre-aggregated degrees. Null ends are left out."""
+    counted. Each round keeps edges whose ends both have two ways out, by pre-aggregated degrees. Null ends are left out."""
     tables = Scratch(edges.sparkSession, "leaf")
     state = tables.table(edges.dropna(subset=["src", "dst"]), "edges")
     for _ in range(max_rounds):
-        keep = state.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("src")
-        rest = state.join(keep, "src", "left_semi").join(keep.withColumnRenamed("src", "dst"), "dst", "left_semi").select(*edges.columns)
-        rest, before = tables.table(rest, "edges"), state
+        keep = out_degree(state).filter("degree > 1").select("id")
+        rest, before = tables.table(subgraph(state, keep, state.row_count), "edges"), state
         done = rest.row_count in (0, before.row_count)
         tables.drop(before)
         state = rest

@@ -38,7 +38,7 @@ class Level:
 @dataclass
 class Louvain:
     levels: list[Level] = field(default_factory=list)
-    #: Moduliarities of all levels run, the one that gained too little included.
+    #: Modularities of all levels run, the one that gained too little included.
     tried: list[float] = field(default_factory=list)
 
     def q_values(self, spark) -> DataFrame:
@@ -113,11 +113,11 @@ def cycle(vertices: DataFrame, edges: DataFrame, total: int, first_half: bool, r
     return out.select(*vertices.columns)
 
 
-def modularity(vertices: DataFrame, edges: DataFrame, total: int, rules: str = NUMERIC, count_isolated: bool = False) -> DataFrame:
+def modularity(vertices: DataFrame, edges: DataFrame, total: int, rules: str = NUMERIC, count_isolated: bool = False, rows: int | None = None) -> DataFrame:
     """One row, q: the sum over vertices of k_in / M - sigma k / M^2, each taken as 0 where negative.
 
     Vertices without edges don't count, as their neighbourhood is empty, unless count_isolated is set."""
-    inside = community_messages(vertices, edges, rules).select("id", "c", "w")
+    inside = community_messages(vertices, edges, rules, rows).select("id", "c", "w")
     own = inside.join(vertices.select("id", "community"), "id").groupBy("id").agg(F.sum(F.when(F.col("c") == F.col("community"), F.col("w")).otherwise(F.lit(0))).alias("w"))
     met = vertices.join(own, "id", "left" if count_isolated or rules == TEXT else "inner")
     k, m = F.col("nodeWeight") + F.col("internalWeight"), F.lit(float(total))
@@ -162,15 +162,17 @@ def one_level(
         last = moved
         if stop > progress_counter or not moved or count >= MAX_CYCLES:
             break
-    q = modularity(vertices, edges, total, rules, count_isolated).first().q if total else 0.0
+    q = modularity(vertices, edges, total, rules, count_isolated, rows).first().q if total else 0.0
     return Level(vertices, edges, q, count // 2)
 
 
-def compress(vertices: DataFrame, edges: DataFrame, rules: str = NUMERIC) -> tuple[DataFrame, DataFrame]:
+def compress(vertices: DataFrame, edges: DataFrame, rules: str = NUMERIC, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(vertices, edges) with one vertex a community: internal weight is that of its vertices and twice that of the
     edges inside (under TEXT both directions are there and count once); edges between communities add up."""
     label = vertices.select("id", "community")
-    met = edges.join(label.select(F.col("id").alias("src"), F.col("community").alias("cs")), "src").join(label.select(F.col("id").alias("dst"), F.col("community").alias("cd")), "dst")
+    rows = edges.count() if rows is None else rows
+    met = lookup(edges, label.select(F.col("id").alias("src"), F.col("community").alias("cs")), "src", rows, "dst", "inner")
+    met = lookup(met, label.select(F.col("id").alias("dst"), F.col("community").alias("cd")), "dst", rows, "src", "inner")
     times = 1 if rules == TEXT else 2
     inside = met.filter("cs = cd").select(F.col("cs").alias("id"), (F.col("weight") * times).alias("w"))
     own = vertices.select(F.col("community").alias("id"), F.col("internalWeight").alias("w"), "communityName")
@@ -214,7 +216,7 @@ def louvain(
         if rules == TEXT and (level.passes <= 2 or int(level.q * 10_000) <= int((0.0 if stage < 2 else before) * 10_000)):
             break
         before = level.q
-        vertices, edges = compress(level.vertices, level.edges, rules)
+        vertices, edges = compress(level.vertices, level.edges, rules, level.edges.row_count)
     return out
 
 

@@ -19,7 +19,7 @@ def _shares(edges: DataFrame, tables: Scratch) -> DataFrame:
     pairs = tables.table(pairs, "pairs")
     degree = pairs.groupBy("src").agg(F.sum("n").alias("degree")).withColumnRenamed("src", "id")
     shares = send(pairs, degree, pairs.row_count).select("src", "dst", (F.col("n") / F.col("degree")).alias("share"))
-    return tables.table(shares.repartition("src"), "shares")
+    return tables.table(shares, "shares")
 
 
 def _push(edges: DataFrame, start, first, delta: float | None, relative: bool, max_rounds: int) -> DataFrame:

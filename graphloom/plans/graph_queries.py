@@ -71,7 +71,7 @@ def weighted_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges between nodes with more than one edge out."""
     edges = edge_list(spark, sf_dir)
-    return graph.subgraph(edges, graph.out_degree(edges).filter("degree > 1"))
+    return graph.subgraph(edges, graph.out_degree(edges).filter("degree > 1"), edges.count())
 
 
 def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,7 +67,7 @@ def state_line(columns: DataFrame) -> Column:
 
 
 def write_level(index: int, level: Level, path: str, q_values: list[float]) -> None:
-    """level_<i>_vertices, level_<i>_edges and the moduliarities so far, qvalues_<i>."""
+    """level_<i>_vertices, level_<i>_edges and the modularities so far, qvalues_<i>."""
     write(level.vertices.select(state_line(level.vertices)), f"{path}/level_{index}_vertices")
     write(level.edges.select(F.concat(F.lit("Edge("), F.concat_ws(",", *[F.col(c).cast("string") for c in ("src", "dst", "weight")]), F.lit(")")).alias("value")), f"{path}/level_{index}_edges")
     spark = level.vertices.sparkSession
