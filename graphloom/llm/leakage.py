@@ -126,27 +126,26 @@ class Scanner:
         stream = "".join(words)
         found: dict[int, tuple[int, int]] = {}
         bounds: list[int] = []
-        seen: set[tuple[int, int]] = set()
+        walked: dict[tuple[int, int], int] = {}
         for end, (size, where) in self.automaton.iter(stream):
             at = end + 1 - size
             for k, i in where:
                 if k in found:
                     continue
                 shift = at - self.items[k].starts[i]
-                if (k, shift) in seen:  # a neighbouring seed of the same unchanged stretch was extended already
+                if i < walked.get((k, shift), 0):  # a neighbouring seed of the same unchanged run was extended already
                     continue
                 bounds = bounds or [0, *accumulate(map(len, words))]
-                stretch, low, high = extend(self.items[k], i, stream, at, bounds)
+                stretch, walked[k, shift] = extend(self.items[k], i, stream, at, bounds)
                 if stretch:
                     found[k] = stretch
-                seen.add((k, shift)) if low <= i < high else None
         return found
 
 
-def extend(item: Item, i: int, stream: str, at: int, bounds: list[int]) -> tuple[tuple[int, int] | None, int, int]:
+def extend(item: Item, i: int, stream: str, at: int, bounds: list[int]) -> tuple[tuple[int, int] | None, int]:
     """Extend the match of item word i at position ``at`` of a stream whose words begin at ``bounds``.
 
-    Returns the stretch found, or None, and the item's words of the unchanged run around the seed.
+    Returns the stretch found, or None, and the item's word at which the unchanged run around the seed ends.
     """
     right = _reach(item, i, stream, at, bounds, 1)
     left = _reach(item, i, stream, at, bounds, -1)
@@ -155,8 +154,11 @@ def extend(item: Item, i: int, stream: str, at: int, bounds: list[int]) -> tuple
         for r in range(edits + 1):
             (n1, end), (n2, start) = right[r], left[edits - r]
             if n1 + n2 >= need:
-                return (start, end), 0, len(item.words)
-    return None, i, i + 1
+                return (start, end), len(item.words)
+    shift = at - item.starts[i]
+    while i < len(item.words) and stream.startswith(item.words[i], item.starts[i] + shift):
+        i += 1
+    return None, i
 
 
 def _reach(item: Item, i: int, stream: str, at: int, bounds: list[int], way: int) -> list[tuple[int, int]]:

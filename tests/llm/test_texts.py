@@ -95,6 +95,15 @@ def test_leaks(spark):
         leakage.leaks(docs, items, stock, most_item_chars=10)
 
 
+def test_a_clean_rest_after_a_noisy_beginning_on_one_diagonal():
+    item = [f"w{i:03}" for i in range(61)]
+    doc = [w[:-1] + "x" if i in (4, 8, 12) else w for i, w in enumerate(item)]
+    scanner = leakage.Scanner(leakage.items_of([" ".join(item)], []))
+    assert set(scanner.cases(" ".join(doc))) == {0}
+    assert set(scanner.cases(" ".join(doc[:23]))) == set()
+    assert set(scanner.cases(" ".join(doc[:24]))) == {0}
+
+
 def test_offsets_follow_the_stream():
     rng = random.Random(13)
     parts = ["word", "<b>", "</b>", "&amp;", "&auml;x", "ﬁn", "é", "é", "İ", "ß", "-\n", " ", "٣", "日", "\\textit ", "<no", "½"]
