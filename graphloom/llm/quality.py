@@ -2,7 +2,8 @@
 
 Each text is read once for its statistics. Exact ranks of every statistic within a language come from a
 range-partitioned sort of the distinct values with partition offsets; the empirical tail probabilities of a text are
-combined into one outlier score. Of the outliers, those are reported whose characters are mostly outside sentences.
+combined into one outlier score. Reported are, with their scores, the texts whose characters are mostly outside
+sentences; this is decided on each text by itself, whatever the other texts are.
 """
 
 from __future__ import annotations
@@ -47,8 +48,6 @@ _FIELDS = "lang string, word_count bigint, mean_word_length double, symbol_ratio
 # A line of sentences: function words, mostly letters, few odd signs, not a list.
 LEAST_COMMON, LEAST_LETTERS, MOST_ODD, MOST_LISTED, WORDS_A_CELL = 0.15, 0.6, 0.05, 0.3, 6
 LEAST_COMMON_HAN, MOST_LISTED_HAN = 0.03, 0.1
-#: Share of each language's texts, by outlier score, that are looked at line by line.
-OUTLIERS = 0.5
 
 
 def is_prose(line: str, tokens: list[str], common: int, dense: int) -> bool:
@@ -186,8 +185,8 @@ def outlier_scores(docs: DataFrame, tables: Scratch | None = None) -> DataFrame:
     return lookup(scored.withColumn("key", key), ranks, "key", n, "row", "inner").drop("key", "row", "among")
 
 
-def no_prose(docs: DataFrame, outliers: float = OUTLIERS) -> DataFrame:
-    """The texts (doc_id, score, prose_share) of whose characters more than half lie outside sentences: among the
-    outliers (rank not above ``outliers``) those whose lines of sentences hold less than half of the characters."""
+def no_prose(docs: DataFrame) -> DataFrame:
+    """The texts (doc_id, score, prose_share) of whose characters more than half lie outside sentences, whatever their
+    rank: copies of one page may well be most of a language."""
     scored = outlier_scores(docs).withColumn("prose_share", F.col("prose_chars") / F.col("line_chars"))
-    return scored.filter((F.col("rank") <= outliers) & (F.col("prose_share") < 0.5)).select("doc_id", "score", "prose_share")
+    return scored.filter("prose_share < 0.5").select("doc_id", "score", "prose_share")

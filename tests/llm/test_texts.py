@@ -157,6 +157,12 @@ def test_no_prose(spark):
     assert quality.no_prose(docs.drop("lang").filter("doc_id >= 40")).count() == 3
 
 
+@pytest.mark.parametrize("texts", [PROSE[:2] + [JUNK[0]] * 8, PROSE[:1] + JUNK[:3] * 2, [JUNK[6]], [JUNK[1]] * 2], ids=["copied", "most", "single", "equal"])
+def test_no_prose_does_not_depend_on_the_other_texts(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id for r in quality.no_prose(docs).collect()} == {i for i, t in enumerate(texts) if t in JUNK}
+
+
 def test_tail_probabilities_are_exact(spark):
     from graphloom.scratch import Scratch
 
