@@ -12,9 +12,6 @@ from graphloom.plans import derive
 from graphloom.scratch import Scratch
 from graphloom.sources import community_text, edge_text
 
-#: So high that every level ends after two passes, whatever the size of the graph.
-TWO_PASSES = 10**12
-
 
 def edge_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.edges_of(derive.read(spark, sf_dir, "edges_numeric"), weight="weight")
@@ -180,23 +177,23 @@ def louvain_one_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _level0(spark: SparkSession, sf_dir: str) -> louvain.Level:
-    tables = Scratch(spark, "level")
-    return louvain.one_level(*louvain.initial(edge_list(spark, sf_dir)), tables, min_progress=TWO_PASSES)
+    """The first level by the stop rule of the operator, as in louvain_labels."""
+    return louvain.one_level(*louvain.initial(edge_list(spark, sf_dir)), Scratch(spark, "level"))
 
 
 def louvain_level0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The communities of two passes."""
+    """The communities of the first level."""
     return _level0(spark, sf_dir).vertices.select(*_STATE)
 
 
 def louvain_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The modularity of two passes."""
+    """The modularity of the first level."""
     level = _level0(spark, sf_dir)
     return louvain.modularity(level.vertices, level.edges, louvain.total_weight(level.vertices)).select(F.round("q", 9).alias("q"))
 
 
 def louvain_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The communities of two passes as vertices."""
+    """The communities of the first level as vertices."""
     level = _level0(spark, sf_dir)
     return louvain.compress(level.vertices, level.edges)[0].select(*_STATE)
 

@@ -111,6 +111,64 @@ def test_louvain_level_0_and_halt(spark):
     assert Counter(r.community for r in found.levels[0].vertices.collect()) == want
 
 
+def brute_level0(edges):
+    """Communities and passes of the first level by the numeric rules, on dictionaries."""
+    near, k = defaultdict(Counter), Counter()
+    for a, b, w in edges:
+        for x, y in ((a, b), (b, a)):
+            near[x][y] += w
+            k[x] += w
+    total, com, sigma, passes, stop, last = sum(k.values()), {v: v for v in k}, Counter(k), 0, 0, 0
+    while True:
+        moved = 0
+        for down in (True, False):
+            new = {}
+            for v in k:
+                to = Counter()
+                for u, w in near[v].items():
+                    to[com[u]] += w
+                scores = []
+                for c, w in to.items():
+                    rest = sigma[c] - (k[v] if c == com[v] else 0)
+                    scores.append((0 if c == com[v] and not rest else w * total - k[v] * rest, c))
+                score, c = max(scores)
+                if score > 0 and (c < com[v] if down else c > com[v]):
+                    new[v] = c
+            com.update(new)
+            moved += len(new)
+            sigma = Counter()
+            for v, c in com.items():
+                sigma[c] += k[v]
+        passes += 1
+        stop += moved >= last - 2000
+        last = moved
+        if stop > 1 or not moved:
+            return com, passes
+
+
+def test_louvain_level_0_queries_go_on_while_moves_fall(spark, tmp_path):
+    from graphloom.plans import graph_queries
+
+    rng = random.Random(15)
+    edges = [(rng.randrange(9000), int(9000 * rng.random() ** 2), rng.choice([1, 1, 2])) for _ in range(18000)]
+    spark.createDataFrame(edges, "src bigint, dst bigint, weight bigint").write.parquet(str(tmp_path / "edges_numeric.parquet"))
+    want, passes = brute_level0(edges)
+    assert passes > 2
+    rows = graph_queries.louvain_level0(spark, str(tmp_path)).collect()
+    assert {r.id: r.community for r in rows} == want
+    assert {r.id for r in graph_queries.louvain_compress(spark, str(tmp_path)).collect()} == set(want.values())
+    cut = {(min(want[a], want[b]), max(want[a], want[b])) for a, b, _ in edges if want[a] != want[b]}
+    assert {(r.src, r.dst) for r in graph_queries.louvain_compress_edges(spark, str(tmp_path)).collect()} == cut
+    total, inside, sigma, k = 2 * sum(w for *_, w in edges), Counter(), Counter(), Counter()
+    for a, b, w in edges:
+        for x, y in ((a, b), (b, a)):
+            k[x] += w
+            sigma[want[x]] += w
+            inside[x] += w * (want[x] == want[y])
+    q = sum(max(0.0, inside[v] / total - sigma[want[v]] * k[v] / total**2) for v in k)
+    assert graph_queries.louvain_modularity(spark, str(tmp_path)).first().q == pytest.approx(q, abs=1e-8)
+
+
 def test_louvain_of_text(spark):
     found = louvain.louvain(graph(spark, L6, str), rules=louvain.TEXT)
     assert {r.community for r in found.levels[-1].vertices.collect()} == {"2"}
