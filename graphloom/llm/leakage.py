@@ -2,7 +2,7 @@
 
 One Aho-Corasick automaton holds short word sequences of all evaluation items. Each text is scanned once, in a
 normalised stream of its letters and digits alone, so that case, punctuation, spacing, broken lines and markup make no
-difference. Every hit is extended to both sides in the stream, over at most two changed, added or left-out words.
+difference. Every hit is extended to both sides in the stream, over at most three changed, added or left-out words.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ from graphloom.shipping import ship
 
 #: Words that a case repeats at least, and how many of them go with one edit.
 LEAST_WORDS, WORDS_AN_EDIT = 15, 10
-#: A long stretch always holds one of fewer than twice the least words that keeps the edit rate; so two edits suffice.
-MOST_EDITS = (2 * LEAST_WORDS - 1) // WORDS_AN_EDIT
+#: A stretch of four edits or more always holds a shorter one that keeps the edit rate. One of three need not, as its parts
+#: lose their outer edits and with them the least words: 14 words, three changed ones, 13 words.
+MOST_EDITS = 3
 #: Such a stretch has six words in a row unchanged; these hold a seed of four words that starts at a multiple of three.
 SEED_WORDS, SEED_STEP = 4, 3
 

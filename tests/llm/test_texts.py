@@ -4,6 +4,7 @@ import os
 import random
 from array import array
 from collections import defaultdict
+from itertools import combinations
 
 import pytest
 
@@ -104,6 +105,25 @@ def test_a_clean_rest_after_a_noisy_beginning_on_one_diagonal():
     assert set(scanner.cases(" ".join(doc[:24]))) == {0}
 
 
+def is_case(n, edits):
+    """By the definition: a stretch between unchanged words of at least 15 words and of ten an edit."""
+    clean = [i for i in range(n) if i not in edits]
+    return any(b - a + 1 >= max(15, 10 * sum(a < e < b for e in edits)) for a in clean for b in clean if a <= b)
+
+
+@pytest.mark.parametrize("way", ["changed", "left out"])
+def test_all_places_of_edits_against_the_definition(way):
+    scanners = {n: leakage.Scanner(leakage.items_of([" ".join(f"w{i:03}" for i in range(n))], [])) for n in (30, 40, 50)}
+    rng = random.Random(16)
+    places = [(30, p) for e in range(4) for p in combinations(range(30), e)]
+    places += [(n, p) for n, e in ((40, 4), (50, 5)) for p in (sorted(rng.sample(range(n), e)) for _ in range(300))]
+    places += [(40, range(a, a + 4)) for a in range(37)]
+    for n, p in places:
+        gone = "" if way == "left out" else "something"
+        doc = " ".join(gone if i in p else f"w{i:03}" for i in range(n))
+        assert bool(scanners[n].cases(doc)) == is_case(n, p), (n, tuple(p))
+
+
 def test_offsets_follow_the_stream():
     rng = random.Random(13)
     parts = ["word", "<b>", "</b>", "&amp;", "&auml;x", "ﬁn", "é", "é", "İ", "ß", "-\n", " ", "٣", "日", "\\textit ", "<no", "½"]
