@@ -29,7 +29,7 @@ def propagate(
     vertices: id and any state columns (kept); ``start`` gives the initial ``value``. Each round, vertices that changed
     last send ``message`` (an expression over value, weight) along ``direction`` (out, in, either); ``merge`` is an
     aggregate function of the column of messages; ``apply`` is the new value from value and msg; ``active`` says, from
-    value and new, whether the vertex sends next round. Ends when no vertex is active, or after max_rounds.
+    value and new, whether the vertex sends next round. Ends when no vertex is active; an error if some still are after max_rounds.
     """
     tables = Scratch(edges.sparkSession, "propagate")
     edges = tables.table(edges, "edges")
@@ -50,6 +50,8 @@ def propagate(
         state = step
         if not state.metrics["n"]:
             break
+    else:
+        raise RuntimeError(f"vertices are still active after {max_rounds} rounds")
     return state.drop("active")
 
 

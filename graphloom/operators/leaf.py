@@ -22,6 +22,8 @@ def leaf_compression(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         state = rest
         if done:
             break
+    else:
+        raise RuntimeError(f"leaf compression has not ended after {max_rounds} rounds")
     return state
 
 
@@ -48,4 +50,6 @@ def leaf_folding(edges: DataFrame, max_rounds: int = 10_000) -> tuple[DataFrame,
         cut = leaves.select(F.col("to").alias("src"), F.col("id").alias("dst"))
         rest = state.join(dead.withColumnRenamed("id", "src"), "src", "left_anti").join(cut, ["src", "dst"], "left_anti")
         state = tables.table(rest.select("src", "dst"), "edges")
+    else:
+        raise RuntimeError(f"leaf folding has not ended after {max_rounds} rounds")
     return state, nodes

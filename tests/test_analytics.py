@@ -258,3 +258,16 @@ def test_propagate_and_sampling(spark):
     assert bsp.take_sample(nodes, 3, 7).collect() == bsp.take_sample(nodes.repartition(3), 3, 7).collect()
     top = bsp.top_k(nodes.withColumn("v", F.col("id") % 2), 2, "v")
     assert [r.id for r in top.collect()] == [1, 3]
+
+
+def test_rounds_that_do_not_suffice_are_an_error(spark):
+    path = graph(spark, " ".join(f"{i},{i + 1} {i + 1},{i}" for i in range(1, 7)))
+    nodes = path.select(F.col("src").alias("id")).distinct()
+    for run in (
+        lambda n: leaf.leaf_compression(path, n),
+        lambda n: leaf.leaf_folding(path, n),
+        lambda n: bsp.propagate(nodes, path, F.col("value"), F.max, F.greatest("value", "msg"), F.col("id"), F.col("new") > F.col("value"), max_rounds=n),
+    ):
+        with pytest.raises(RuntimeError):
+            run(2)
+        run(9)
