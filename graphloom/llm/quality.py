@@ -1,18 +1,19 @@
 """Statistics of text quality, and which texts are no natural prose.
 
-Each text is read once for its statistics. Exact ranks of every statistic within a language come from a
-range-partitioned sort of the distinct values with partition offsets; the empirical tail probabilities of a text are
-combined into one outlier score. Reported are, with their scores, the texts whose characters are mostly outside
-sentences; this is decided on each text by itself, whatever the other texts are.
+Each text is read once for its statistics. Each is then held against the texts of its language that consist mostly of
+running sentences: exact ranks among them, from a range-partitioned sort of the distinct values with partition offsets,
+give the empirical tail probability of every statistic, and these are combined into one outlier score. Junk does not
+count in the ranks, so it cannot hide by being most of a language, and copies of one page cannot either.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,79 +33,120 @@ COMMON = {
 }
 #: Codes under which the languages are delivered.
 CODES = {"en": ("en", "eng"), "de": ("de", "ger", "deu"), "fr": ("fr", "fra", "fre"), "zh": ("zh", "chi", "zho")}
-_ALL_COMMON = frozenset(w for ws in COMMON.values() for w in ws)
-_SETS = {k: frozenset(v) for k, v in COMMON.items()}
+_LANGUAGES = {w: [k for k, ws in COMMON.items() if w in ws] for ws in COMMON.values() for w in ws}
 HAN = "㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
 _TOKEN = re.compile(f"[{HAN}]|[^\\W_{HAN}]+")
 _HAN = re.compile(f"[{HAN}]")
 _ENDS = frozenset(".!?:;,。！？：；，")
-_ODD = re.compile(r"[^\w\s.,;:!?()\[\]{}'\"/%&+=<>°²³·–—‘’“”„«»‚±×Ωµμ§€$、。，；：（）！？“”-]|[ÃÂ¤¶]")
-_LISTED = re.compile(r"[,;|\t&、]")
-_CELL = re.compile(r"\t| {3,}|\s[;|&]\s")
-
-STATISTICS = ("word_count", "mean_word_length", "symbol_ratio", "line_punct_share", "common_word_share")
-_FIELDS = "lang string, word_count bigint, mean_word_length double, symbol_ratio double, line_punct_share double, common_word_share double, prose_chars bigint, line_chars bigint"
-
-# A line of sentences: function words, mostly letters, few odd signs, not a list.
-LEAST_COMMON, LEAST_LETTERS, MOST_ODD, MOST_LISTED, WORDS_A_CELL = 0.15, 0.6, 0.05, 0.3, 6
-LEAST_COMMON_HAN, MOST_LISTED_HAN = 0.03, 0.1
-
-
-def is_prose(line: str, tokens: list[str], common: int, dense: int) -> bool:
-    """Whether a line (with its tokens in lower case, the number of common ones and of characters other than spaces)
-    is made of sentences rather than a part of a list, a table or junk."""
-    if not tokens:
-        return False
-    han = sum(len(t) == 1 and t >= "㐀" for t in tokens)
-    listed = len(_LISTED.findall(line))
-    if 2 * han > len(tokens):
-        return common >= LEAST_COMMON_HAN * han and line.count("、") < MOST_LISTED_HAN * han and any(c in line for c in "。，；：")
-    if sum(map(len, tokens)) < LEAST_LETTERS * dense or len(_ODD.findall(line)) > MOST_ODD * dense:
-        return False
-    words, cells = sum(not t.isdigit() for t in tokens), len(_CELL.findall(line.strip()))
-    if cells > 1 and words < WORDS_A_CELL * (cells + 1):
-        return False
-    return words > 0 and common >= LEAST_COMMON * words and listed < MOST_LISTED * words
+#: The end of a sentence, or of lines.
+_CUT = re.compile(r"[.!?]+[\"'”’»)\]]*(?=[\s<]|$)|[。！？]+|\n+")
+_LISTED = re.compile(r"[,;|\t&、·；，]")
+_DIGITS = re.compile(r"[0-9]+")
+
+STATISTICS = (
+    "word_count", "mean_word_length", "symbol_ratio", "line_punct_share", "common_word_share", "sentence_share", "distinct_line_share", "words_a_line",
+)
+#: On which side of each statistic junk lies.
+JUNK_SIDE = ("low", "both", "high", "low", "low", "low", "low", "low")
+
+#: A sentence: words from and to, characters at most, and its share of function words and of letters and digits at least.
+LEAST_WORDS, MOST_WORDS, MOST_WORDS_HAN, MOST_CHARS = 5, 60, 120, 400
+LEAST_COMMON, LEAST_COMMON_HAN, LEAST_LETTERS, LONGEST_WORDS = 0.15, 0.03, 0.75, 20
+#: A sentence said more often in one text (numbers aside) is a notice, not prose.
+MOST_REPEATS = 3
+#: A line of fewer words that ends without a full stop is no wrapped part of a sentence.
+SHORT_LINE = 7
+#: Running text without full stops: words a line, words a listing sign and distinct words at least.
+LONG_LINE, WORDS_A_SIGN, DISTINCT_WORDS = 11, 7, 25
+
+
+#: Texts of whose characters less are in running sentences are no prose and count in no rank.
+PROSE_SHARE = 0.5
+#: A language with fewer texts of prose is compared with the most frequent one.
+LEAST_REFERENCE = 50
+#: Scores that more of the prose reaches are no outliers.
+OUTLIER_RANK = 0.05
+
+
+class _Sentences:
+    """Counts the characters (all but spaces) in running sentences, the same wording MOST_REPEATS times at most."""
+
+    def __init__(self, common: set[str], unstopped: bool):
+        self.common, self.unstopped, self.chars, self.seen = common, unstopped, 0, Counter()
+
+    def add(self, pieces: list[str], tokens: list[list[str]], ended: bool) -> None:
+        words = tokens[0] if len(tokens) == 1 else [t for ts in tokens for t in ts]
+        n = len(words)
+        if n < LEAST_WORDS:
+            return
+        text = pieces[0] if len(pieces) == 1 else "\n".join(pieces)
+        dense, letters = len("".join(text.split())), sum(map(len, words))
+        plain = text.isascii()
+        han = not plain and 2 * sum(map(len, _HAN.findall(text))) > n
+        if letters < LEAST_LETTERS * dense or (plain and letters > LONGEST_WORDS * n):
+            return
+        if sum(map(self.common.__contains__, words)) < (LEAST_COMMON_HAN if han else LEAST_COMMON) * n:
+            return
+        if not ended or n > (MOST_WORDS_HAN if han else MOST_WORDS) or dense > MOST_CHARS:
+            if not self.unstopped or n < LONG_LINE * len(pieces) or len(_LISTED.findall(text)) * WORDS_A_SIGN > n or len(set(words)) < DISTINCT_WORDS:
+                return
+        wording = " ".join([w for w in words if not w.isdigit()])
+        self.seen[wording] += 1
+        if self.seen[wording] <= MOST_REPEATS:
+            self.chars += dense
 
 
 def statistics(text: str | None) -> tuple | None:
-    """The statistics of one text; None for a null, empty or blank one."""
+    """The statistics of one text, after its language (None if unknown); None for a null, empty or blank one."""
     if not text or text.isspace():
         return None
-    words = chars = dense = lines = ending = common = prose = total = 0
-    votes = dict.fromkeys(_SETS, 0)
-    for line in text.split("\n"):
-        packed = "".join(line.split())
-        if not packed:
-            continue
-        tokens = _TOKEN.findall(line.lower())
-        lines += 1
-        ending += packed[-1] in _ENDS
-        known = [t for t in tokens if t in _ALL_COMMON]
-        words += len(tokens)
-        chars += sum(map(len, tokens))
-        dense += len(packed)
-        common += len(known)
-        total += len(packed)
-        if is_prose(line, tokens, len(known), len(packed)):
-            prose += len(packed)
-        for k, s in _SETS.items():
-            votes[k] += sum(t in s for t in known)
-    if len(_HAN.findall(text)) * 2 > words:
+    low, pieces, at = text.lower(), [], 0
+    for m in _CUT.finditer(low):
+        broken = m[0][0] == "\n"
+        piece = low[at : m.start() if broken else m.end()]
+        at = m.end()
+        pieces.append((piece, _TOKEN.findall(piece), broken, broken and m.end() - m.start() > 1))
+    pieces.append((low[at:], _TOKEN.findall(low[at:]), True, True))
+    tally: Counter[str] = Counter()
+    for p in pieces:
+        tally.update(p[1])
+    words, chars = tally.total(), sum(len(t) * n for t, n in tally.items())
+    votes, common = dict.fromkeys(COMMON, 0), 0
+    for t in tally.keys() & _LANGUAGES.keys():
+        common += tally[t]
+        for k in _LANGUAGES[t]:
+            votes[k] += tally[t]
+    if not low.isascii() and 2 * len(_HAN.findall(low)) > words:
         lang = "zh"
     else:
         lang, n = max(votes.items(), key=lambda kv: kv[1])
         lang = lang if n * 20 >= words and n else None
+    # of languages without a list the short words that the text itself repeats, in sentences with a full stop alone
+    known = set(_LANGUAGES) if lang else {t for t, n in tally.items() if n > 2 and len(t) < 5 and t.isalpha()} | set(_LANGUAGES)
+    found, held, tokens = _Sentences(known, lang is not None), [], []
+    for piece, ts, broken, blank in pieces:
+        if piece:
+            held.append(piece)
+            tokens.append(ts)
+        if held and (not broken or blank or len(ts) < SHORT_LINE):
+            found.add(held, tokens, not broken)
+            held, tokens = [], []
+    if held:
+        found.add(held, tokens, False)
+    dense = len("".join(text.split()))
+    lines = [x for x in map(str.strip, _DIGITS.sub("0", low).split("\n")) if x]
+    ending, distinct = sum(x[-1] in _ENDS for x in lines), len(set(lines))
     return (
-        lang, words, chars / words if words else 0.0, max(0, dense - chars) / dense, ending / lines, common / words if words else 0.0, prose, total,
+        lang, words, chars / words if words else 0.0, max(0, dense - chars) / dense, ending / len(lines), common / words if words else 0.0,
+        found.chars / dense, distinct / len(lines), words / len(lines),
     )
 
 
 def _batches():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from graphloom.llm.quality import statistics
+        from graphloom.llm.quality import STATISTICS, statistics
 
-        kinds = [pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+        kinds = [pa.string(), pa.int64(), *[pa.float64()] * (len(STATISTICS) - 1)]
         for batch in batches:
             rows = []
             for lo in range(0, batch.num_rows, 256):
@@ -113,36 +155,38 @@ def _batches():
             columns = list(zip(*(r for r in rows if r is not None))) or [()] * len(kinds)
             ids, given = batch.column(0).filter(there), batch.column(1).filter(there)
             arrays = [ids, given, *(pa.array(c, t) for c, t in zip(columns, kinds))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "given", "lang", *STATISTICS, "prose_chars", "line_chars"])
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "given", "lang", *STATISTICS])
 
     return run
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, word_count, mean_word_length, symbol_ratio, line_punct_share, common_word_share, prose_chars, line_chars.
+    """doc_id, lang, word_count, mean_word_length, symbol_ratio, line_punct_share, common_word_share, sentence_share,
+    distinct_line_share, words_a_line.
 
     Null, empty and blank texts have no row. A word is a run of letters and digits, or one Han character. symbol_ratio
     is the share of all characters but spaces that are neither; line_punct_share that of the lines with any character
-    that end in punctuation; common_word_share that of the words that are function words. lang is judged by the text,
-    else by the delivered code, else null. prose_chars are those of line_chars (all but spaces) in lines of sentences.
-    One narrow pass over whole texts.
+    that end in punctuation; common_word_share that of the words that are function words; sentence_share that of all
+    characters but spaces in running sentences; distinct_line_share counts lines that differ in more than numbers. lang
+    is judged by the text, else by the delivered code, else null. One narrow pass over whole texts.
     """
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     given = F.lower(F.trim("lang")) if "lang" in docs.columns else F.lit(None).cast("string")
     code = F.coalesce(*[F.when(given.isin(*codes), F.lit(k)) for k, codes in CODES.items()])
-    out = docs.select("doc_id", code.alias("given"), "text").mapInArrow(_batches(), f"doc_id {kind}, given string, {_FIELDS}")
+    fields = ", ".join(["lang string", f"{STATISTICS[0]} bigint", *(f"{c} double" for c in STATISTICS[1:])])
+    out = docs.select("doc_id", code.alias("given"), "text").mapInArrow(_batches(), f"doc_id {kind}, given string, {fields}")
     return out.withColumn("lang", F.coalesce("lang", "given")).drop("given")
 
 
 def tail_probabilities(values: DataFrame, tables: Scratch) -> DataFrame:
-    """For rows (stat, lang, value): each distinct one with at_most and at_least, the exact shares of the rows of its
-    stat and lang whose value is not above, or not below.
+    """For rows (stat, lang, value, counts): each distinct (stat, lang, value) with at_most and at_least, the exact
+    numbers of the counting rows of its stat and lang whose value is not above, or not below, and their total.
 
     Equal values are counted together first. The distinct ones are sorted over range partitions; a running count within
     each partition plus the offset of the partition (the counts of those before it) is the exact rank.
     """
-    weighted = values.groupBy("stat", "lang", "value").agg(F.count(F.lit(1)).alias("n"))
+    weighted = values.groupBy("stat", "lang", "value").agg(F.count(F.when(F.col("counts"), 1)).alias("n"))
     ranged = weighted.repartitionByRange("stat", "lang", "value").sortWithinPartitions("stat", "lang", "value").withColumn("part", F.spark_partition_id())
     ranged = tables.table(ranged, "ranged")
     sums = ranged.groupBy("stat", "lang", "part").agg(F.sum("n").alias("m"))  # partitions x statistics x languages rows
@@ -152,41 +196,51 @@ def tail_probabilities(values: DataFrame, tables: Scratch) -> DataFrame:
     inside = F.sum("n").over(W.partitionBy("part", "stat", "lang").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
     ranks = ranged.withColumn("upto", inside).join(F.broadcast(offsets), ["stat", "lang", "part"])
     upto = F.col("before") + F.col("upto")
-    return ranks.select("stat", "lang", "value", (upto / F.col("total")).alias("at_most"), ((F.col("total") - upto + F.col("n")) / F.col("total")).alias("at_least"))
+    return ranks.select("stat", "lang", "value", upto.alias("at_most"), (F.col("total") - upto + F.col("n")).alias("at_least"), "total")
+
+
+def _surprise(tail: str) -> Column:
+    """-ln of a tail probability, never infinite: one more text is thought of at the value itself."""
+    return -F.log((F.col(tail) + 1) / (F.col("total") + 1))
 
 
 def outlier_scores(docs: DataFrame, tables: Scratch | None = None) -> DataFrame:
     """The statistics of each text with ``score`` and ``rank``.
 
-    score is the sum over the statistics of -ln of the tail probability on the side where junk lies, within the
-    language: few common words, many symbols, few lines ending in punctuation, words of unusual length (either side,
-    doubled). Texts of unknown language are compared with those of the most frequent one. rank is the share of the
-    language's texts whose score is at least as high.
+    The reference of a text are the texts of its language of whose characters at least PROSE_SHARE are in running
+    sentences. Where its language is unknown, or has fewer than LEAST_REFERENCE such texts, it is the one of the language
+    with most of them; where no language has as many, that of all texts together. score is the sum over the statistics
+    of -ln of the tail probability, among the reference, on the side where junk lies (of both sides, doubled, where it
+    lies on either). rank is the share of the reference whose score is at least as high, 0 where even all texts
+    together give fewer than LEAST_REFERENCE, which is too few to tell.
     """
     tables = tables or Scratch(docs.sparkSession, "quality")
-    stats = text_statistics(docs).withColumn("row", F.monotonically_increasing_id())
-    stats = tables.table(stats, "stats")
-    frequent = stats.filter(F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").first()
-    among = F.coalesce("lang", F.lit(frequent.lang if frequent else "en"))
-    used = ("mean_word_length", "symbol_ratio", "line_punct_share", "common_word_share")
-    pairs = F.array(*[F.struct(F.lit(i).alias("stat"), F.col(c).alias("value")) for i, c in enumerate(used)])
-    long = stats.select("row", among.alias("lang"), F.inline(pairs))
-    tails = tail_probabilities(long.select("stat", "lang", "value"), tables)
-    key = F.struct("stat", "lang", "value").alias("key")
-    n = stats.row_count
-    met = lookup(long.select("row", "stat", key), tails.select(key, "at_most", "at_least"), "key", n * len(used), "row", "inner")
-    low, high = -F.log("at_most"), -F.log("at_least")
-    part = F.when(F.col("stat") == 0, F.greatest(F.greatest(low, high) - F.log(F.lit(2.0)), F.lit(0.0))).when(F.col("stat") == 1, high).otherwise(low)
-    scores = met.groupBy("row").agg(F.round(F.sum(part), 9).alias("score"))
+    running = F.col("sentence_share") >= PROSE_SHARE
+    sizes = {f"n_{k}": F.count(F.when(running & (F.col("lang") == k), 1)) for k in COMMON}
+    stats = tables.table(text_statistics(docs).withColumn("row", F.monotonically_increasing_id()), "stats", **sizes)
+    own = sorted((k for k in COMMON if stats.metrics[f"n_{k}"] >= LEAST_REFERENCE), key=lambda k: -stats.metrics[f"n_{k}"])
+    among = F.when(F.col("lang").isin(*own), F.col("lang")).otherwise(F.lit(own[0])) if own else F.lit("all")
+    pairs = F.array(*[F.struct(F.lit(i).alias("stat"), F.col(c).cast("double").alias("value")) for i, c in enumerate(STATISTICS)])
+    long = stats.select("row", among.alias("lang"), running.alias("counts"), F.inline(pairs))
+    tails = tail_probabilities(long.drop("row"), tables)
+    low, high = _surprise("at_most"), _surprise("at_least")
+    side = F.element_at(F.array(*map(F.lit, JUNK_SIDE)), F.col("stat") + 1)
+    both = F.greatest(F.greatest(low, high) - F.log(F.lit(2.0)), F.lit(0.0))
+    part = F.when(side == "low", low).when(side == "high", high).otherwise(both)
+    key, n = F.struct("stat", "lang", "value").alias("key"), stats.row_count
+    met = lookup(long.select("row", key), tails.select(key, part.alias("part")), "key", n * len(STATISTICS), "row", "inner")
+    scores = met.groupBy("row").agg(F.round(F.sum("part"), 9).alias("score"))
     scored = tables.table(stats.join(scores, "row").withColumn("among", among), "scored")
-    ranks = tail_probabilities(scored.select(F.lit(0).alias("stat"), F.col("among").alias("lang"), F.col("score").alias("value")), tables)
-    key = F.struct(F.col("among").alias("lang"), F.col("score").alias("value")).alias("key")
-    ranks = ranks.select(F.struct("lang", "value").alias("key"), F.col("at_least").alias("rank"))
-    return lookup(scored.withColumn("key", key), ranks, "key", n, "row", "inner").drop("key", "row", "among")
+    ranks = tail_probabilities(scored.select(F.lit(0).alias("stat"), F.col("among").alias("lang"), F.col("score").alias("value"), running.alias("counts")), tables)
+    rank = F.when(F.col("total") >= LEAST_REFERENCE, F.col("at_least") / F.col("total")).otherwise(F.lit(0.0)).alias("rank")
+    ranks = ranks.select(F.struct("lang", "value").alias("key"), rank)
+    keyed = scored.withColumn("key", F.struct(F.col("among").alias("lang"), F.col("score").alias("value")))
+    return lookup(keyed, ranks, "key", n, "row", "inner").drop("key", "row", "among")
 
 
 def no_prose(docs: DataFrame) -> DataFrame:
-    """The texts (doc_id, score, prose_share) of whose characters more than half lie outside sentences, whatever their
-    rank: copies of one page may well be most of a language."""
-    scored = outlier_scores(docs).withColumn("prose_share", F.col("prose_chars") / F.col("line_chars"))
-    return scored.filter("prose_share < 0.5").select("doc_id", "score", "prose_share")
+    """The texts (doc_id, score, rank, sentence_share) that are no natural prose: their score is so high that at most
+    OUTLIER_RANK of the prose of their language reaches it, and, as an exact check, less than PROSE_SHARE of their
+    characters are in running sentences."""
+    found = outlier_scores(docs).filter((F.col("rank") <= OUTLIER_RANK) & (F.col("sentence_share") < PROSE_SHARE))
+    return found.select("doc_id", "score", "rank", "sentence_share")

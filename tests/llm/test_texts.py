@@ -147,24 +147,44 @@ JUNK = [
 ]
 
 
+REPEATED = ["Insert the form at this place\n" * 20, "".join(f"Dieses Blatt ist ohne Inhalt {i}\n" for i in range(30)), "Voir la planche à la fin.\n" * 25, "本页没有内容，请看下一页。\n" * 20]
+_A, _B = "wheel lamp handle tray knob hook".split(), "boat shed cart mill press clock".split()
+PHRASES = [
+    "\n".join(f"– the {a} of the {b} or its {a}" for a in _A for b in _B),
+    "\n".join(f"das {a} in dem {b} und der {a}" for a in "Rad Licht Brett Tuch Glas".split() for b in "Boot Haus Werk Zelt".split()),
+    "\n".join(f"* la {a} dans le {b} pour une {a}" for a in "roue lampe table".split() for b in "bateau moulin four pont".split()),
+    "\n".join(f"{a}的{b}和其{a}" for a in "轮灯盘钩" for b in "船车磨钟"),
+]
+OTHER = [
+    "El molino del pueblo lleva agua a la casa. En el fondo de la casa hay un horno que no se usa. El agua que sale de la casa va a la huerta de la plaza.",
+    "el molino del pueblo\nla casa del agua\nun horno en la casa\nla huerta de la plaza\nel agua de la fuente\nla puerta de la casa",
+]
+UNSTOPPED = (
+    "as the lamp is lit by the boat the keeper who came from the mill in spring walks along the wall and sees that none of the doors which "
+    "were open before noon has been shut again while those near the shed stay as they were when he left for the town"
+)
+
+
 def test_statistics():
-    s = dict(zip(("lang", *quality.STATISTICS, "prose", "total"), quality.statistics("The cat is on\na mat.\n\n  \nx9 %%")))
+    s = dict(zip(("lang", *quality.STATISTICS), quality.statistics("The cat is on\na mat.\n\n  \nx9 %%")))
     assert s["lang"] == "en" and s["word_count"] == 7 and s["mean_word_length"] == pytest.approx(16 / 7)
     assert s["symbol_ratio"] == pytest.approx(3 / 19) and s["line_punct_share"] == pytest.approx(1 / 3) and s["common_word_share"] == pytest.approx(3 / 7)
+    assert s["sentence_share"] == 0 and s["distinct_line_share"] == 1 and s["words_a_line"] == pytest.approx(7 / 3)
+    s = dict(zip(("lang", *quality.STATISTICS), quality.statistics("The cat is on my mat for the day.\nPage 1\nPage 20\nPage 300")))
+    assert s["sentence_share"] == pytest.approx(25 / 43) and s["distinct_line_share"] == 0.5
     assert quality.statistics(None) is quality.statistics("") is quality.statistics(" \n\xa0") is None
     assert quality.statistics("!" * 1000)[1:3] == (0, 0.0)
+    assert quality.statistics("The mill is at the end of the way. " * 30_000)[6] < 0.01
 
 
-@pytest.mark.parametrize("text", PROSE)
+@pytest.mark.parametrize("text", [*PROSE, *PROSE[:1] * 2, UNSTOPPED, OTHER[0], "\n".join(PROSE), "<p>" + PROSE[2] + "<br>\n" + PROSE[3]])
 def test_prose(text):
-    s = quality.statistics(text)
-    assert s[6] > 0.5 * s[7]
+    assert quality.statistics(text)[6] > 0.5
 
 
-@pytest.mark.parametrize("text", JUNK)
+@pytest.mark.parametrize("text", [*JUNK, *REPEATED, *PHRASES, OTHER[1], "x" * 100_000, "QmFzZTY0IHRleHQ/" * 40 + "\nThe lamp is lit by the keeper of the boat."])
 def test_junk(text):
-    s = quality.statistics(text)
-    assert s[6] < 0.5 * s[7]
+    assert quality.statistics(text)[6] < 0.5
 
 
 def test_no_prose(spark):
@@ -177,6 +197,19 @@ def test_no_prose(spark):
     assert quality.no_prose(docs.drop("lang").filter("doc_id >= 40")).count() == 3
 
 
+def test_scores_explain_what_is_found(spark):
+    rng = random.Random(17)
+    nouns = [f"{a}{b}" for a in ("lamp", "boat", "mill", "cart", "clock") for b in ("", "s", "house", "yard")]
+    say = ["The {} is at the end of the {}.", "It is known to use a {} with the {} in it.", "If the {} is shut, the {} stays open."]
+    texts = [" ".join(rng.choice(say).format(rng.choice(nouns), rng.choice(nouns)) for _ in range(rng.randrange(4, 30))) for _ in range(120)]
+    junk = [*REPEATED, *PHRASES, *JUNK]
+    docs = spark.createDataFrame(list(enumerate(texts + junk * 3)), "doc_id bigint, text string")
+    scores = {r.doc_id: r for r in quality.outlier_scores(docs).collect()}
+    found = {r.doc_id for r in quality.no_prose(docs).collect()}
+    assert found == set(range(120, 120 + 3 * len(junk))) == {i for i, r in scores.items() if r.rank <= quality.OUTLIER_RANK and r.sentence_share < quality.PROSE_SHARE}
+    assert min(scores[i].score for i in found) > sorted(scores[i].score for i in range(120))[-6]
+
+
 @pytest.mark.parametrize("texts", [PROSE[:2] + [JUNK[0]] * 8, PROSE[:1] + JUNK[:3] * 2, [JUNK[6]], [JUNK[1]] * 2], ids=["copied", "most", "single", "equal"])
 def test_no_prose_does_not_depend_on_the_other_texts(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
@@ -187,13 +220,13 @@ def test_tail_probabilities_are_exact(spark):
     from graphloom.scratch import Scratch
 
     rng = random.Random(14)
-    rows = [(rng.randrange(2), rng.choice(["en", "de"]), rng.choice([0.0, 0.5, 0.5, rng.random()])) for _ in range(500)]
+    rows = [(rng.randrange(2), rng.choice(["en", "de"]), rng.choice([0.0, 0.5, 0.5, rng.random()]), rng.random() < 0.7) for _ in range(500)]
     groups = defaultdict(list)
-    for s, lang, v in rows:
-        groups[s, lang].append(v)
-    out = quality.tail_probabilities(spark.createDataFrame(rows, "stat int, lang string, value double"), Scratch(spark, "t")).collect()
-    assert len(out) == len({(s, lang, v) for s, lang, v in rows})
+    for s, lang, v, counts in rows:
+        if counts:
+            groups[s, lang].append(v)
+    out = quality.tail_probabilities(spark.createDataFrame(rows, "stat int, lang string, value double, counts boolean"), Scratch(spark, "t")).collect()
+    assert len(out) == len({r[:3] for r in rows})
     for r in out:
         vs = groups[r.stat, r.lang]
-        assert r.at_most == pytest.approx(sum(v <= r.value for v in vs) / len(vs))
-        assert r.at_least == pytest.approx(sum(v >= r.value for v in vs) / len(vs))
+        assert (r.at_most, r.at_least, r.total) == (sum(v <= r.value for v in vs), sum(v >= r.value for v in vs), len(vs))
