@@ -92,8 +92,79 @@ def test_leaks(spark):
     assert sum(r.doc_id == 0 for r in rows) == 4
     assert leakage.leaks(docs.limit(0), items, stock).count() == 0
     assert leakage.leaks(docs, items.limit(0), stock).count() == 0
+    assert leakage.leaks(docs, items.drop("answer"), stock).count() == len(rows)
+    split = leakage.leaks(docs, items, stock, most_item_chars=max(len(t or "") + 1 for _, t, _ in ITEMS))
+    assert split.rdd.getNumPartitions() > docs.rdd.getNumPartitions() and sorted(split.collect(), key=str) == sorted(rows, key=str)
     with pytest.raises(ValueError):
         leakage.leaks(docs, items, stock, most_item_chars=10)
+    with pytest.raises(ValueError):
+        leakage.leaks(docs, items.limit(0), stock, most_item_chars=10)
+
+
+def test_answers_are_reported_with_their_case(spark):
+    items = spark.createDataFrame([(1, PASSAGE, "the Lathe"), (2, PASSAGE, "Nobody"), (3, "Short text", "lathe")], "item_id bigint, text string, answer string")
+    docs = spark.createDataFrame([(1, "The\n<b>lathe</b>. " + PASSAGE), (2, PASSAGE + " bathe lathes"), (3, "the lathe")], "doc_id bigint, text string")
+    stock = spark.createDataFrame([], "text string")
+    got = {(r.doc_id, r.item_id): (r.answer_at, r.answer_end) for r in leakage.leaks(docs, items, stock).collect()}
+    assert got == {(1, 1): (0, 12), (1, 2): (None, None), (2, 1): (None, None), (2, 2): (None, None)}
+
+
+def brute_force(item, counts, doc):
+    """Whether any stretch of the item is aligned with the doc within the edit rate, by dynamic programming from every
+    pair of equal words: most counting words had for each number of edits."""
+    n, m = len(item), len(doc)
+    for i0 in range(n):
+        for j0 in range(m):
+            if item[i0] != doc[j0]:
+                continue
+            best = {(i0 + 1, j0 + 1): {0: counts[i0]}}
+            for i in range(i0 + 1, n + 1):
+                for j in range(max(j0 + 1, i - i0 + j0 - 4), min(m, i - i0 + j0 + 4) + 1):
+                    for e, got in list(best.get((i, j), {}).items()):
+                        steps = []
+                        if i < n and j < m:
+                            steps.append((i + 1, j + 1, e + (item[i] != doc[j]), got + counts[i], item[i] == doc[j]))
+                        if i < n:
+                            steps.append((i + 1, j, e + 1, got + counts[i], False))
+                        if j < m:
+                            steps.append((i, j + 1, e + 1, got, False))
+                        for a, b, f, g, same in steps:
+                            if f > 3:
+                                continue
+                            if same and g >= max(15, 10 * f):
+                                return True
+                            d = best.setdefault((a, b), {})
+                            if d.get(f, -1) < g:
+                                d[f] = g
+    return False
+
+
+def test_random_edits_against_brute_force():
+    rng = random.Random(18)
+    stock = [f"s{i:02}" for i in range(9)]
+    item = [f"w{i:02}" for i in range(16)] + stock + [f"w{i:02}" for i in range(16, 40)]
+    parted = [w for i in range(0, 20, 4) for w in [f"v{j:02}" for j in range(i, i + 4)] + stock[:3]]
+    for words, phrase in ((item, stock), (parted, stock[:3])):
+        items = leakage.items_of([" ".join(words)], [" ".join(phrase)])
+        scanner = leakage.Scanner(items)
+        seen = [0, 0]
+        for _ in range(400):
+            a = rng.randrange(len(words) - 14)
+            doc = words[a : a + rng.randrange(15, 40)]
+            for _ in range(rng.randrange(5)):
+                at = rng.randrange(len(doc))
+                way = rng.choice(["same length", "changed", "out", "in"])
+                doc[at : at + 1] = {"same length": ["zzz"], "changed": ["another"], "out": [], "in": [doc[at], "more"]}[way]
+            want = brute_force(words, items[0].counts, doc)
+            seen[want] += 1
+            assert bool(scanner.cases(" ".join(doc))) == want, doc
+        assert min(seen) > 10
+
+
+def test_equal_length_changes_before_a_verbatim_rest():
+    words = [f"w{i:02}" for i in range(34)]
+    doc = words[:5] + ["zzz"] * 10 + words[15:]
+    assert set(leakage.Scanner(leakage.items_of([" ".join(words)], [])).cases(" ".join(doc))) == {0}
 
 
 def test_a_clean_rest_after_a_noisy_beginning_on_one_diagonal():
