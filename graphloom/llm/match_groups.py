@@ -1,9 +1,10 @@
 """Consolidating pairwise matches into groups: connected components by reduction.
 
 Each round strips vertices with one neighbour and splices out vertices with two (an independent set of each chain,
-chosen by hash: list ranking by random mates). What is left, the core, is contracted: every vertex joins the
-neighbour of the highest degree if that one is a local maximum. Each removed vertex keeps a pointer to one that was
-removed later; labels are restored to them in reverse order.
+chosen by hash: list ranking by random mates). What is left, the core, is contracted: every vertex points to its
+neighbour of the highest degree unless its own is higher, and each tree of such pointers becomes one vertex, which at
+least halves the vertices. Each removed vertex keeps a pointer to one that was removed later; labels are restored to
+them in reverse order. Every round shrinks the graph by a set share, so all rounds together read a small multiple of it.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from graphloom.graph import dense_ranks, encode
 from graphloom.scratch import Scratch
 
 #: Stripping goes on while a round removes at least this share of the edges; then the core is contracted.
-WORTH_STRIPPING = 0.1
+WORTH_STRIPPING = 0.25
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -52,24 +53,27 @@ def roots(links: DataFrame, tables: Scratch, left: str = "a", right: str = "b")
     pairs = tables.table(pairs, "pairs", loops=F.count(F.when(F.col("a") == F.col("b"), 1)))
     edges, n = pairs.filter("a <> b"), pairs.row_count - pairs.metrics["loops"]
     removed: list[DataFrame] = []
+    sizes: list[int] = []  # no more rows than twice the edges of the round
     gain = 1.0
     while n and gain >= WORTH_STRIPPING:
         gone, rest = _strip(edges, len(removed), tables)
         removed.append(gone)
+        sizes.append(2 * n)
         gain, n, edges = 1 - rest.row_count / n, rest.row_count, rest
     while n:
         gone, edges = _contract(edges, len(removed), n, tables)
         removed.append(gone)
+        sizes.append(2 * n)
         n = edges.row_count
 
     selves = pairs.filter("a = b").select(F.col("a").alias("v"), F.col("a").alias("root"))
     labels = None
-    for gone in reversed(removed):
+    for i, gone in reversed(list(enumerate(removed))):
         if labels is None:
             found = gone.select("v", F.col("to").alias("root"))
         else:
             known = labels.select(F.col("v").alias("to"), "root")
-            found = lookup(gone, known, "to", gone.row_count, "v").select("v", F.coalesce("root", "to").alias("root"))
+            found = lookup(gone, known, "to", sizes[i], "v").select("v", F.coalesce("root", "to").alias("root"))
             found = tables.table(found, "labels")
         labels = found if labels is None else labels.unionByName(found)
     if labels is None:
@@ -99,32 +103,47 @@ def _strip(edges: DataFrame, r: int, tables: Scratch) -> tuple[DataFrame, DataFr
     toss = F.xxhash64(a, F.lit(r)) < F.xxhash64(b, F.lit(r))
     blocked = F.when((da == 2) & (db == 2), F.when(toss, b).otherwise(a)).when((da == 1) & (db == 2), b).when((da == 2) & (db == 1), a)
     blocked = met.select(blocked.alias("v")).filter(v.isNotNull()).distinct()
-    spliced = tables.table(ends.filter("d = 2").join(blocked, "v", "left_anti").select("v", "lo", "hi"), "spliced")
-    gone = tables.table(leaves.select("v", "to").unionByName(spliced.select("v", F.col("lo").alias("to"))), "gone")
-    cut = leaves.select("a", "b").unionByName(spliced.select(*_edge(v, F.col("lo")))).unionByName(spliced.select(*_edge(v, F.col("hi"))))
-    stay = edges.select("a", "b").unionByName(spliced.select(F.col("lo").alias("a"), F.col("hi").alias("b")))
+    spliced = ends.filter("d = 2").join(blocked, "v", "left_anti").select("v", F.col("lo").alias("to"), "hi")
+    gone = tables.table(leaves.select("v", "to", F.lit(None).cast(ends.schema["hi"].dataType).alias("hi")).unionByName(spliced), "gone")
+    # every removed vertex loses the edge to ``to``, a spliced one also that to ``hi``, and its neighbours get linked
+    spliced = gone.filter(F.col("hi").isNotNull())
+    cut = gone.select(*_edge(v, F.col("to"))).unionByName(spliced.select(*_edge(v, F.col("hi"))))
+    stay = edges.select("a", "b").unionByName(spliced.select(F.col("to").alias("a"), F.col("hi").alias("b")))
     rest = stay.withColumn("cut", F.lit(0)).unionByName(cut.withColumn("cut", F.lit(1))).groupBy("a", "b").agg(F.max("cut").alias("cut"))
     rest = tables.table(rest.filter("cut = 0").select("a", "b"), "edges")
-    tables.drop(ends, met, spliced, edges)
-    return gone, rest
+    tables.drop(ends, met, edges)
+    return gone.select("v", "to"), rest
 
 
 def _contract(edges: DataFrame, r: int, n: int, tables: Scratch) -> tuple[DataFrame, DataFrame]:
-    """One round on the core: vertices join their neighbour of the highest degree where that is a local maximum."""
+    """One round on the core: trees of pointers to the neighbour of the highest degree become single vertices.
+
+    Pointers rise, so they form no circles; pointer doubling over the vertices, in as many steps as the tallest tree has
+    binary digits of height, takes each to its top.
+    """
     degree = tables.table(_both(edges).groupBy("v").agg(F.count(F.lit(1)).alias("d")), "degree")
     order = F.struct(F.col("d").alias("d"), F.xxhash64("w", F.lit(r)).alias("h"), F.col("w").alias("w"))
     arcs = lookup(_both(edges), degree.select(F.col("v").alias("w"), "d"), "w", 2 * n, "v", "inner")
     best = arcs.groupBy("v").agg(F.max(order).alias("best"))
     own = F.struct(F.col("d").alias("d"), F.xxhash64("v", F.lit(r)).alias("h"), F.col("v").alias("w"))
-    best = tables.table(best.join(degree, "v").select("v", F.col("best.w").alias("to"), (own > F.col("best")).alias("top")), "best")
-    tops = best.filter("top").select(F.col("v").alias("to"))
-    gone = tables.table(lookup(best.filter("not top").select("v", "to"), tops, "to", best.row_count, "v", "inner").select("v", "to"), "gone")
+    top = F.when(own > F.col("best"), F.col("v")).otherwise(F.col("best.w"))
+    up = tables.table(best.join(degree, "v").select("v", top.alias("to")), "up", low=F.count(F.when(F.col("v") != F.col("to"), 1)))
+    while True:
+        higher = up.select(F.col("v").alias("to"), F.col("to").alias("over"))
+        step = lookup(up, higher, "to", up.row_count, "v", "inner").select("v", F.col("over").alias("to"), (F.col("over") != F.col("to")).alias("moved"))
+        step = tables.table(step, "up", moved=F.count(F.when(F.col("moved"), 1)))
+        tables.drop(up)
+        up = step.drop("moved")
+        up.row_count = step.row_count
+        if not step.metrics["moved"]:
+            break
+    gone = up.filter("v <> to")
     out = edges
     for end in "ab":
-        moved = gone.select(F.col("v").alias(end), "to")
-        out = lookup(out, moved, end, n, "b" if end == "a" else "a").withColumn(end, F.coalesce("to", end)).drop("to")
+        moved = up.select(F.col("v").alias(end), "to")
+        out = lookup(out, moved, end, n, "b" if end == "a" else "a", "inner").withColumn(end, F.col("to")).drop("to")
     out = tables.table(out.filter("a <> b").select(*_edge(F.col("a"), F.col("b"))).distinct(), "edges")
-    tables.drop(degree, best, edges)
+    tables.drop(degree, edges)
     return gone, out
 
 

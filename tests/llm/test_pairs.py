@@ -77,3 +77,25 @@ def test_name_groups(spark, dense):
     want = brute_groups([(plain(a), plain(b)) for _, a, b, *_ in rows if a and b and plain(a) and plain(b)])
     got = match_groups.name_groups(spark.createDataFrame(rows, SCHEMA), dense=dense).collect()
     assert len(got) == len(want) and {r.name: r.group_name for r in got} == want
+
+
+def test_rounds_stay_few_on_a_path_of_rising_degrees(spark):
+    """Each vertex of a core points to the next, of higher degree: one local maximum alone."""
+    pairs, new = [], 10_000
+    for i in range(40):
+        pairs.append((i, i + 1))
+        for _ in range(3 + i):  # triangles, so that nothing can be stripped or spliced for long
+            pairs += [(i, new), (new, new + 1), (new + 1, i), (new + 1, new + 2), (new + 2, new), (new + 2, i)]
+            new += 3
+    got = {r.v: r.group for r in match_groups.groups(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    assert set(got.values()) == {0} and len(got) == len({v for p in pairs for v in p})
+
+
+def test_a_hub_above_the_threshold(spark, monkeypatch):
+    import graphloom.balance as balance
+
+    monkeypatch.setattr(balance.hot_threshold, "__defaults__", (balance.MOST_HOT_KEYS, 20))
+    rng = random.Random(12)
+    pairs = [(0, i) for i in range(1, 150)] + [(rng.randrange(1, 150), rng.randrange(150, 220)) for _ in range(200)] + [(500, 501)]
+    got = {r.v: r.group for r in match_groups.groups(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    assert got == brute_groups(pairs)
