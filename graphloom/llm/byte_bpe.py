@@ -1,14 +1,13 @@
 """Token ids of texts under a public byte-level BPE vocabulary.
 
 Texts are cut into words by the vocabulary's pattern. Each worker encodes every distinct word piece it meets once, in a
-recursive query of an embedded DuckDB: token-position rows are joined with the merge table, each piece contracts its
-leftmost pair of the least rank, until none is left; an ordered aggregation gives the ids. Texts are then put together
-from the encoded pieces. Nothing is shuffled.
+recursive query of an embedded DuckDB: token-position rows are joined with the merge table, and each piece contracts its
+pair of the least rank, from the left, until none is left; an ordered aggregation gives the ids. Texts are then put
+together from the encoded pieces. Another ordered aggregation decodes ids. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 from array import array
@@ -25,25 +24,30 @@ from graphloom.shipping import ship
 PATTERN = r" ?[{L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 #: Where the vocabulary lies, unless a path is given.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
-#: Longer pieces (rare: unbroken runs without any safe cut) are merged with a heap, as rounds would be quadratic in them.
-LONGEST_PIECE = 64
 #: Words kept encoded in a worker, and characters of text cut at a time: they bound a worker's memory.
 KEPT_WORDS, CHUNK = 150_000, 1_500_000
 
+# The table s holds one row a position, replaced as it changes (-1: swallowed by the token before it); only pieces that
+# changed last are looked at again. All places of the least pair are contracted in one round, which equals one by one from
+# the left, as a token made of a pair has a later rank. Where a pair of equal tokens overlaps itself, every other one counts.
 _MERGE = """
-WITH RECURSIVE s(round, piece, pos, tok) AS (
-    SELECT 0, piece, pos, tok FROM start
-  UNION ALL
+WITH RECURSIVE s(piece, pos, tok) USING KEY (piece, pos) AS (
+    SELECT piece, pos, tok FROM start
+  UNION
     (WITH pairs AS (
-        SELECT round, piece, pos, tok, lead(tok) OVER w AS tok2, lag(pos) OVER w AS before FROM s WINDOW w AS (PARTITION BY piece ORDER BY pos)),
-     best AS (
-        SELECT p.piece, min(m.rank * 256 + p.pos) AS at FROM pairs p JOIN merges m ON p.tok = m.a AND p.tok2 = m.b GROUP BY p.piece)
-     SELECT p.round + 1, p.piece, p.pos, CASE WHEN p.pos = b.at % 256 THEN m.id ELSE p.tok END
-     FROM pairs p JOIN best b ON p.piece = b.piece JOIN ids m ON m.rank = b.at // 256
-     WHERE p.before IS DISTINCT FROM b.at % 256))
-SELECT s.piece, list(s.tok ORDER BY s.pos) AS ids
-FROM s JOIN (SELECT piece, max(round) AS round FROM s GROUP BY piece) l ON s.piece = l.piece AND s.round = l.round
-GROUP BY s.piece
+        SELECT piece, pos, tok, lead(tok) OVER w AS tok2, lead(pos) OVER w AS pos2, row_number() OVER w AS i
+        FROM recurring.s WHERE tok >= 0 AND piece IN (SELECT piece FROM s) WINDOW w AS (PARTITION BY piece ORDER BY pos)),
+     ranked AS (SELECT p.*, m.rank, m.id FROM pairs p LEFT JOIN merges m ON p.tok = m.a AND p.tok2 = m.b),
+     least AS (SELECT piece, min(rank) AS least FROM ranked GROUP BY piece HAVING min(rank) IS NOT NULL),
+     hits AS (SELECT r.piece, r.pos, r.pos2, r.id, r.i, coalesce(r.rank = l.least, false) AS hit FROM ranked r JOIN least l ON r.piece = l.piece),
+     turns AS (
+        SELECT *, hit AND (i - coalesce(max(CASE WHEN NOT hit THEN i END) OVER (PARTITION BY piece ORDER BY i), 0)) % 2 = 1 AS joins FROM hits)
+     SELECT piece, unnest([pos, pos2]), unnest([id, -1]) FROM turns WHERE joins))
+SELECT piece, list(tok ORDER BY pos) AS ids FROM s WHERE tok >= 0 GROUP BY piece
+"""
+_DECODE = """
+SELECT t.doc, string_agg(v.letters, '' ORDER BY t.pos) AS letters
+FROM (SELECT doc, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM encoded) t JOIN tokens v ON v.id = t.id GROUP BY t.doc
 """
 
 
@@ -87,10 +91,9 @@ class Encoder:
         model = json.load(open(path, encoding="utf-8"))["model"]
         vocabulary, letters = model["vocab"], byte_letters()
         back = {c: b for b, c in letters.items()}
-        self.byte_ids = [vocabulary[letters[b]] for b in range(256)]
+        self.back, self.byte_ids = back, [vocabulary[letters[b]] for b in range(256)]
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         table = [(vocabulary[a], vocabulary[b], vocabulary[a + b]) for a, b in merges]
-        self.ranks = {(a, b): (rank, m) for rank, (a, b, m) in enumerate(table)}
         # no token holds these two bytes side by side, so no merge ever crosses between them
         together = bytearray(65536)
         for a, b in merges:
@@ -104,9 +107,9 @@ class Encoder:
         a, b, m = zip(*table)
         arrow = pa.table({"rank": pa.array(range(len(table)), pa.int64()), "a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "id": pa.array(m, pa.int32())})
         self.db.register("arrow_merges", arrow)
-        self.db.execute("CREATE TABLE merges AS SELECT rank, a, b FROM arrow_merges")
-        self.db.execute("CREATE TABLE ids AS SELECT rank, id FROM arrow_merges")
+        self.db.execute("CREATE TABLE merges AS SELECT * FROM arrow_merges")
         self.db.unregister("arrow_merges")
+        self.vocabulary = pa.table({"id": pa.array(vocabulary.values(), pa.int32()), "letters": pa.array(vocabulary.keys(), pa.string())})
 
     def pieces(self, word: bytes) -> list[bytes]:
         """The word cut wherever no token could cross."""
@@ -123,50 +126,35 @@ class Encoder:
         cut = {w: self.pieces(w.encode("utf-8", "surrogatepass")) for w in words}
         distinct = list(set(chain.from_iterable(cut.values())))
         done: dict[bytes, tuple[int, ...]] = {}
-        short = []
+        several = []
         for p in distinct:
             if len(p) == 1:
                 done[p] = (self.byte_ids[p[0]],)
-            elif len(p) > LONGEST_PIECE:
-                done[p] = self.long(p)
             else:
-                short.append(p)
-        if short:
+                several.append(p)
+        if several:
             rows = {"piece": [], "pos": [], "tok": []}
-            for i, p in enumerate(short):
+            for i, p in enumerate(several):
                 rows["piece"].extend([i] * len(p))
                 rows["pos"].extend(range(len(p)))
                 rows["tok"].extend([self.byte_ids[b] for b in p])
             start = pa.table({"piece": pa.array(rows["piece"], pa.int32()), "pos": pa.array(rows["pos"], pa.int64()), "tok": pa.array(rows["tok"], pa.int32())})
             self.db.register("start", start)
             for i, ids in self.db.execute(_MERGE).fetchall():
-                done[short[i]] = tuple(ids)
+                done[several[i]] = tuple(ids)
             self.db.unregister("start")
         for w, ps in cut.items():
             self.words[w] = array("i", chain.from_iterable(done[p] for p in ps)).tobytes()
 
-    def long(self, piece: bytes) -> tuple[int, ...]:
-        """The same merges in the same order, with a heap of pairs over a linked list."""
-        tok = [self.byte_ids[b] for b in piece]
-        n = len(tok)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*self.ranks[pair], i, *pair) for i, pair in enumerate(zip(tok, tok[1:])) if pair in self.ranks]
-        heap = [(rank, i, a, b, m) for rank, m, i, a, b in heap]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b, m = heapq.heappop(heap)
-            j = after[i] if tok[i] == a else n
-            if j >= n or tok[j] != b:
-                continue
-            tok[i], tok[j] = m, -1
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for x in (before[i], i):
-                if x >= 0 and after[x] < n and (tok[x], tok[after[x]]) in self.ranks:
-                    rank, merged = self.ranks[tok[x], tok[after[x]]]
-                    heapq.heappush(heap, (rank, x, tok[x], tok[after[x]], merged))
-        return tuple(t for t in tok if t >= 0)
+    def decode(self, ids: pa.Array) -> list[str]:
+        """The text of each list of ids; ids that are no token of the vocabulary are left out, broken bytes replaced."""
+        self.db.register("tokens", self.vocabulary)
+        self.db.register("encoded", pa.table({"doc": pa.array(range(len(ids)), pa.int32()), "ids": ids}))
+        out = [""] * len(ids)
+        for i, letters in self.db.execute(_DECODE).fetchall():
+            out[i] = bytes(map(self.back.__getitem__, letters)).decode("utf-8", "replace")
+        self.db.unregister("encoded")
+        return out
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text, as 32-bit integers; null and empty texts have none."""
@@ -192,8 +180,9 @@ class Encoder:
 def _batches(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from graphloom.llm.byte_bpe import Encoder
+        from graphloom.shipping import shipped
 
-        encoder = Encoder.of(path)
+        encoder = Encoder.of(shipped(path))
         for batch in batches:
             texts, offsets, values = batch.column(1), [0], []
             for lo in range(0, len(texts), 512):
@@ -210,8 +199,31 @@ def token_ids(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabul
     """doc_id, ids (array of int): the ids of each text, without special tokens; names of special tokens are ordinary text.
 
     An empty and a null text give an empty list; repeated and null doc_ids are kept as they are. Texts are encoded
-    whole, whatever their length. An empty table gives an empty result. One narrow pass over the two columns.
+    whole, whatever their length. An empty table gives an empty result. One narrow pass over the two columns. The file
+    of the vocabulary goes to the executors with the job.
     """
-    ship(df.sparkSession)
+    ship(df.sparkSession, vocabulary)
     kind = df.schema[doc_id].dataType.simpleString()
     return df.select(df[doc_id].alias("doc_id"), df[text].alias("text")).mapInArrow(_batches(vocabulary), f"doc_id {kind}, ids array<int>")
+
+
+def _texts(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from graphloom.llm.byte_bpe import Encoder
+        from graphloom.shipping import shipped
+
+        encoder = Encoder.of(shipped(path))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(encoder.decode(part.column(1)), pa.string())], ["doc_id", "text"])
+
+    return run
+
+
+def token_texts(df: DataFrame, doc_id: str = "doc_id", ids: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
+    """doc_id, text: what lists of ids (array of int) stand for; the inverse of :func:`token_ids`, but that null texts
+    come back empty, as do null and empty lists. Numbers that are no id are left out. One narrow pass."""
+    ship(df.sparkSession, vocabulary)
+    kind = df.schema[doc_id].dataType.simpleString()
+    return df.select(df[doc_id].alias("doc_id"), df[ids].cast("array<int>").alias("ids")).mapInArrow(_texts(vocabulary), f"doc_id {kind}, text string")

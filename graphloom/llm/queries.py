@@ -28,6 +28,11 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.token_ids(_read(spark, sf_dir, "documents"))
 
 
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts again, decoded from their ids."""
+    return byte_bpe.token_texts(byte_bpe.token_ids(_read(spark, sf_dir, "documents")))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(*(_read(spark, sf_dir, t) for t in ("documents", "eval_items", "stock_phrases")))
 
@@ -55,7 +60,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.no_prose(_read(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_links, p3_found, p6_ids, p7_found, p7_spans, p8_stats, p8_scores, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_links, p3_found, p6_ids, p6_decoded, p7_found, p7_spans, p8_stats, p8_scores, p8_found)}
 
 _PLAIN = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
 _LINKS = f"""links AS (
@@ -77,4 +82,5 @@ ORACLES = {
             SELECT e.b, min(g.group_name) FROM g JOIN e ON e.a = g.name JOIN recurring.g k ON k.name = e.b
             GROUP BY e.b HAVING min(g.group_name) < min(k.group_name))
         SELECT name, group_name FROM g""",
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

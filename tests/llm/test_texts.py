@@ -36,13 +36,28 @@ def test_ids_equal_the_public_library(spark):
 
 
 @needs_vocabulary
-def test_recursion_and_heap_agree():
+def test_pieces_of_any_length_equal_the_public_library():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(byte_bpe.VOCABULARY)
     encoder = byte_bpe.Encoder(byte_bpe.VOCABULARY)
     rng = random.Random(12)
-    words = {"".join(rng.choice("etaoinshrd") for _ in range(rng.randrange(2, 40))) for _ in range(300)}
+    words = {"".join(rng.choice("etaoinshrd") for _ in range(rng.randrange(2, 400))) for _ in range(200)}
+    words |= {a * n for a in ("a", "ab", "aab", "é", "試験") for n in (2, 3, 7, 64, 501)} | {"".join(rng.choice("acgt") for _ in range(20_000)), "z" * 200_000}
     encoder.learn(words)
     for w in words:
-        assert list(array("i", encoder.words[w])) == list(encoder.long(w.encode()))
+        assert list(array("i", encoder.words[w])) == library.encode(w, add_special_tokens=False).ids
+
+
+@needs_vocabulary
+def test_texts_come_back(spark):
+    rows = list(enumerate(ODD)) + [(None, "no id"), (0, "twice")]
+    ids = byte_bpe.token_ids(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    got = byte_bpe.token_texts(ids.selectExpr("ids", "doc_id", "1 AS text")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((i, t or "") for i, t in rows), key=str)
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [-5, 10**8]), (4, [None])], "doc_id bigint, ids array<int>")
+    assert {r.doc_id: r.text for r in byte_bpe.token_texts(odd).collect()} == {1: "", 2: "", 3: "", 4: ""}
+    assert byte_bpe.token_texts(ids.limit(0)).count() == 0
 
 
 # ---------------------------------------------------------------- leaked tests
