@@ -1,7 +1,7 @@
 """Loading delimited rows, with a reason for every row that fails.
 
 A schema (two names and an optional 64-bit weight) and a separator give one anchored pattern for valid rows. Rows that
-do not match it pass through patterns of growing field prefixes, which find the first broken field.
+do not match it pass through patterns of growing field prefixes, which find the first broken field and with it the reason.
 """
 
 from __future__ import annotations
@@ -82,10 +82,16 @@ class Grammar:
         """Whole rows of any number of fields with sound quoting."""
         return rf"\A{self.field}(?:[{_in_class(self.sep)}]{self.field})*+\z"
 
-    @property
-    def columns(self) -> str:
-        """Whole rows of two or three fields."""
-        return rf"\A{self.field}(?:[{_in_class(self.sep)}]{self.field}){{1,2}}+\z"
+    def _fields(self, n: int) -> str:
+        return f"[{_in_class(self.sep)}]".join([self.field] * n)
+
+    def whole(self, n: int) -> str:
+        """Whole rows of n fields with sound quoting."""
+        return rf"\A{self._fields(n)}\z"
+
+    def sound(self, n: int) -> str:
+        """Rows whose first n fields have sound quoting and are followed by another field or the end."""
+        return rf"\A{self._fields(n)}(?:[{_in_class(self.sep)}]|\z)"
 
     def prefix(self, good: int) -> str:
         """Rows whose first ``good`` fields are valid and followed by another field or the end."""
@@ -101,11 +107,13 @@ _ANY, _NONE = "\uE000", "\uFFFF"
 def parse_rows(df: DataFrame, line: str = "line", delim: str = "delim", separators: tuple[str, ...] = SEPARATORS) -> DataFrame:
     """df with ``c0``, ``c1``, ``c2`` of the valid rows, else ``reason`` and ``bad_field`` (from 1).
 
-    The reason is the first that applies of ``quoting``, ``columns`` and ``value``. A null line counts as an empty one;
+    The reason is the first that applies of ``quoting``, ``columns`` and ``value``. bad_field is the first field with
+    broken quoting (4: the fourth or a later one), the one that is missing (2) or too many (4), or the first with an
+    invalid value: where the growing prefixes of the row stop matching. A null line counts as an empty one;
     a null or unusable separator (not one character) leaves one field, so its rows fail. Columns of df whose names
     clash with the new ones are kept under a leading underscore. One narrow pass, no shuffle.
     """
-    new = {"c0", "c1", "c2", "reason", "bad_field", "gl_sep", "gl_ok", "gl_w"}
+    new = {"c0", "c1", "c2", "reason", "bad_field", "gl_sep", "gl_ok", "gl_w", "gl_bad"}
     taken = {c.lower() for c in df.columns} | new
     for c in df.columns:
         if c.lower() in new:
@@ -143,11 +151,17 @@ def parse_rows(df: DataFrame, line: str = "line", delim: str = "delim", separato
     out = df.withColumn("gl_sep", F.coalesce(usable, F.lit(_NONE)))
     out = out.withColumn("gl_ok", matches(lambda g: g.row))
     ok = F.col("gl_ok")
-    reason = F.when(~matches(lambda g: g.quoting), "quoting").when(~matches(lambda g: g.columns), "columns").otherwise("value")
-    first = F.when(~matches(lambda g: g.prefix(1)), 1).when(~matches(lambda g: g.prefix(2)), 2).otherwise(3)
+    # the first field with broken quoting; then whether a field is missing or too many; then the first broken value
+    whole = [matches(lambda g, n=n: g.whole(n)) for n in (1, 2, 3)]
+    unsound = F.when(~matches(lambda g: g.sound(1)), 1).when(~matches(lambda g: g.sound(2)), 2).when(~matches(lambda g: g.sound(3)), 3)
+    unsound = F.when(~(whole[0] | whole[1] | whole[2]), F.coalesce(unsound, F.when(~matches(lambda g: g.quoting), 4)))
+    value = F.when(~matches(lambda g: g.prefix(1)), 1).when(~matches(lambda g: g.prefix(2)), 2).otherwise(3)
+    columns = F.when(whole[0], 2).when(~(whole[1] | whole[2]), 4)
+    out = out.withColumn("gl_bad", F.when(~ok, F.coalesce(unsound * 10 + 1, columns * 10 + 2, value * 10 + 3)))
+    reason = F.element_at(F.array(*map(F.lit, ("quoting", "columns", "value"))), F.col("gl_bad") % 10)
     return (
         out.withColumns({"c0": F.when(ok, group(1)), "c1": F.when(ok, group(2)), "gl_w": F.when(ok, group(3))})
         .withColumn("c2", F.when(F.col("gl_w") != "", F.col("gl_w").cast("bigint")))
-        .withColumns({"reason": F.when(~ok, reason), "bad_field": F.when(~ok, first).cast("int")})
-        .drop("gl_sep", "gl_ok", "gl_w")
+        .withColumns({"reason": F.when(~ok, reason), "bad_field": F.floor(F.col("gl_bad") / 10).cast("int")})
+        .drop("gl_sep", "gl_ok", "gl_w", "gl_bad")
     )
