@@ -38,7 +38,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.folder = f"{root(spark)}/graphloom-{label}-{uuid.uuid4().hex[:12]}"
-        self._next = 0
+        self.made = 0  # tables written so far
         atexit.register(self._remove, self.folder)
 
     def _remove(self, place: str) -> None:
@@ -52,8 +52,8 @@ class Scratch:
     def table(self, df: DataFrame, name: str = "t", **metrics: Column) -> DataFrame:
         """Write df and return it as read from its files. Its number of rows and further aggregates, all taken while
         writing and not by another job, are in ``row_count`` and ``metrics``."""
-        self._next += 1
-        place = f"{self.folder}/{self._next:03d}-{name}"
+        self.made += 1
+        place = f"{self.folder}/{self.made:03d}-{name}"
         seen = Observation()
         with released_shuffles(self.spark):
             df.observe(seen, F.count(F.lit(1)).alias("_n"), *(c.alias(k) for k, c in metrics.items())).write.mode("overwrite").parquet(place)
