@@ -7,8 +7,8 @@ _C0 = PLAIN.format("c0")
 
 
 
-def _rows(sep: str) -> str:
-    """Three CASE branches' worth of patterns for one separator, in plain (non-possessive) form."""
+def _patterns(sep: str) -> tuple[str, str, str, str]:
+    """Spaces, any soundly quoted field, a valid name and a number of one separator, in plain (non-possessive) form."""
     spaces = "".join(f"\\x{ord(c):02x}" for c in " \t\r" if c != sep)
     at, bad = f"\\x{ord(sep):02x}", r"\x00-\x1f\x7f\x{fffd}"
     some = f'(?:[{spaces}]*"(?:[^"]|"")*"[{spaces}]*|[^"{at}]*)'
@@ -16,17 +16,61 @@ def _rows(sep: str) -> str:
     bare, marked = f'[^" {at}{bad}]', f'(?:[^" {bad}]|"")'
     name = f'(?:[{spaces}]*{bare}(?:{plain}*{bare})?[{spaces}]*|[{spaces}]*"[{spaces}]*{marked}(?:{quoted}*{marked})?[{spaces}]*"[{spaces}]*)'
     number = f'(?:[{spaces}]*-?[0-9]+[{spaces}]*|[{spaces}]*"[{spaces}]*-?[0-9]+[{spaces}]*"[{spaces}]*)'
-    whole = lambda p: "'^(?:" + p.replace("'", "''") + ")$'"
-    third = f"trim(regexp_extract(line, {whole(f'{name}[{at}]{name}[{at}]({number})')}, 1, 's'), '\" ' || chr(9) || chr(13))"
-    return f"""CASE WHEN NOT regexp_matches(line, {whole(f'{some}(?:[{at}]{some})*')}, 's') THEN 'quoting'
-        WHEN NOT regexp_matches(line, {whole(f'{some}(?:[{at}]{some}){{1,2}}')}, 's') THEN 'columns'
-        WHEN regexp_matches(line, {whole(f'{name}[{at}]{name}')}, 's') THEN NULL
-        WHEN regexp_matches(line, {whole(f'{name}[{at}]{name}[{at}]{number}')}, 's') AND TRY_CAST({third} AS BIGINT) IS NOT NULL THEN NULL
-        ELSE 'value' END"""
+    return at, some, name, number
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _is(pattern: str) -> str:
+    return f"regexp_matches(line, {_quoted(f'^(?:{pattern})$')}, 's')"
+
+
+def _starts(pattern: str) -> str:
+    return f"regexp_matches(line, {_quoted(f'^(?:{pattern})')}, 's')"
+
+
+def _valid(sep: str) -> str:
+    at, _, name, number = _patterns(sep)
+    return f"({_is(f'{name}[{at}]{name}')} OR ({_is(f'{name}[{at}]{name}[{at}]{number}')} AND TRY_CAST({_field(sep, 3)} AS BIGINT) IS NOT NULL))"
+
+
+def _field(sep: str, i: int) -> str:
+    """The i-th field of a valid row, freed of its quotes and outer spaces."""
+    at, _, name, number = _patterns(sep)
+    spaces = "||".join(f"chr({ord(c)})" for c in " \t\r" if c != sep)
+    parts = [name, name, number]
+    parts[i - 1] = f"({parts[i - 1]})"
+    whole = f"[{at}]".join(parts[: max(i, 2)]) + (f"(?:[{at}]{number})?" if i < 3 else "")
+    bare = f"trim(regexp_extract(line, {_quoted(f'^{whole}$')}, 1, 's'), {spaces})"
+    return f"CASE WHEN {bare} LIKE '\"%' THEN trim(replace(substr({bare}, 2, length({bare}) - 2), '\"\"', '\"'), {spaces}) ELSE {bare} END"
+
+
+def _rows(sep: str) -> str:
+    at, some, _, _ = _patterns(sep)
+    return f"""CASE WHEN NOT {_is(f'{some}(?:[{at}]{some})*')} THEN 'quoting' WHEN NOT {_is(f'{some}(?:[{at}]{some}){{1,2}}')} THEN 'columns'
+        WHEN {_valid(sep)} THEN NULL ELSE 'value' END"""
+
+
+def _bad_field(sep: str) -> str:
+    """The first broken field of a failing row, by its reason."""
+    at, some, name, _ = _patterns(sep)
+    sound = lambda n: _starts(f"[{at}]".join([some] * n) + f"(?:[{at}]|$)")
+    good = lambda n: _starts(f"[{at}]".join([name] * n) + f"(?:[{at}]|$)")
+    return f"""CASE reason WHEN 'quoting' THEN CASE WHEN NOT {sound(1)} THEN 1 WHEN NOT {sound(2)} THEN 2 WHEN NOT {sound(3)} THEN 3 ELSE 4 END
+        WHEN 'columns' THEN CASE WHEN {_is(some)} THEN 2 ELSE 4 END ELSE CASE WHEN NOT {good(1)} THEN 1 WHEN NOT {good(2)} THEN 2 ELSE 3 END END"""
 
 
 _DELIMS = {",": ",", ";": ";", "|": "|", "\t": "\t", "\\x01": "\x01"}
-_REASON = "CASE " + " ".join(f"WHEN delim = {'chr(9)' if d == chr(9) else repr(d).replace(chr(92) * 2, chr(92))} THEN {_rows(s)}" for d, s in _DELIMS.items()) + " END"
+
+
+def _by_delim(make) -> str:
+    return "CASE " + " ".join(f"WHEN delim = {'chr(9)' if d == chr(9) else repr(d).replace(chr(92) * 2, chr(92))} THEN {make(s)}" for d, s in _DELIMS.items()) + " END"
+
+
+_REASON = _by_delim(_rows)
+_FAILED = f"f AS MATERIALIZED (SELECT raw_id, delim, line, {_REASON} AS reason FROM examples_raw)"
 
 _TREE = """
     last AS MATERIALIZED (SELECT vertex_id, lower(trim(name)) AS own, community, lower(trim(communityName)) AS of FROM (
@@ -48,6 +92,13 @@ ORACLES = {
                    row_number() OVER (PARTITION BY {_C0} ORDER BY seen_at DESC NULLS LAST, line_id DESC) AS k
             FROM examples WHERE c0 IS NOT NULL) t
         WHERE k = 1 AND name <> ''""",
+    "p2_report": f"""
+        WITH r AS (SELECT {_C0} AS name, c0 AS spelling, seen_at, line_id FROM examples WHERE c0 IS NOT NULL),
+        v AS (SELECT name, spelling, count(*) AS n FROM r WHERE name <> '' GROUP BY 1, 2),
+        l AS (SELECT name, line_id, row_number() OVER (PARTITION BY name ORDER BY seen_at DESC NULLS LAST, line_id DESC) AS k FROM r WHERE name <> ''),
+        s AS (SELECT name, spelling, row_number() OVER (PARTITION BY name ORDER BY n DESC, spelling) AS k FROM v),
+        t AS (SELECT name, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_spellings FROM v GROUP BY name)
+        SELECT t.name, l.line_id, t.n, t.n_spellings, s.spelling FROM t JOIN l ON l.name = t.name AND l.k = 1 JOIN s ON s.name = t.name AND s.k = 1""",
     "p2_profile": f"""
         WITH v AS (SELECT {_C0} AS name, c2, count(*) AS n FROM examples WHERE c0 IS NOT NULL GROUP BY 1, 2),
         m AS (SELECT name, c2, n, row_number() OVER (PARTITION BY name ORDER BY n DESC, c2) AS k FROM v WHERE c2 IS NOT NULL)
@@ -57,7 +108,10 @@ ORACLES = {
     "p2_median": f"""
         SELECT name, quantile_disc(c2, 0.5) AS median FROM (SELECT {_C0} AS name, c2 FROM examples WHERE c0 IS NOT NULL AND c2 IS NOT NULL) t
         WHERE name <> '' GROUP BY name""",
-    "p4_found": f"SELECT raw_id, reason FROM (SELECT raw_id, {_REASON} AS reason FROM examples_raw) t WHERE reason IS NOT NULL",
+    "p4_found": f"WITH {_FAILED} SELECT raw_id, reason FROM f WHERE reason IS NOT NULL",
+    "p4_broken": f"WITH {_FAILED} SELECT raw_id, {_by_delim(_bad_field)} AS bad_field, reason FROM f WHERE reason IS NOT NULL",
+    "p4_loaded": f"""WITH {_FAILED} SELECT raw_id, {_by_delim(lambda s: _field(s, 1))} AS c0, {_by_delim(lambda s: _field(s, 2))} AS c1,
+        TRY_CAST({_by_delim(lambda s: _field(s, 3))} AS BIGINT) AS c2 FROM f WHERE reason IS NULL""",
     "p5_found": f"""WITH RECURSIVE {_TREE}
         SELECT id AS vertex_id, path FROM down UNION ALL SELECT id, 'cycle ' || cycle FROM ring""",
     "p5_tree": f"""WITH RECURSIVE {_TREE}, w AS MATERIALIZED (SELECT id, [CAST(x AS BIGINT) FOR x IN string_split(path, '/')] AS way FROM down),

@@ -17,6 +17,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequency.last_by_plain_name(_read(spark, sf_dir, "examples"))
 
 
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per plain form of c0: its last row, rows, spellings and the most frequent spelling."""
+    return frequency.names_report(_read(spark, sf_dir, "examples"))
+
+
 def p2_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per plain form of c0: rows, distinct weights and the most frequent weight."""
     key = plain_form("c0")
@@ -35,6 +40,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rowparse.parse_rows(_read(spark, sf_dir, "examples_raw")).filter(F.col("reason").isNotNull()).select("raw_id", "reason")
 
 
+def p4_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The failing lines with the first broken field."""
+    return rowparse.parse_rows(_read(spark, sf_dir, "examples_raw")).filter(F.col("reason").isNotNull()).select("raw_id", "bad_field", "reason")
+
+
 def p4_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The valid rows."""
     return rowparse.parse_rows(_read(spark, sf_dir, "examples_raw")).filter(F.col("reason").isNull()).select("raw_id", "c0", "c1", "c2")
@@ -42,7 +52,7 @@ def p4_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth, root, subtree size and circle of each vertex."""
-    tree = hierarchy.hierarchy(hierarchy.community_parents(_read(spark, sf_dir, "louvaindata")))
+    tree = hierarchy.hierarchy(hierarchy.community_parents(_read(spark, sf_dir, "louvaindata")), paths=False)
     return tree.select(F.col("node").alias("vertex_id"), "root", "depth", "subtree", "cycle")
 
 
@@ -57,4 +67,4 @@ def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.descendants(hierarchy.hierarchy(hierarchy.community_parents(_read(spark, sf_dir, "louvaindata"))))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_median, p4_found, p4_loaded, p5_found, p5_tree, p5_descendants)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p2_profile, p2_median, p4_found, p4_broken, p4_loaded, p5_found, p5_tree, p5_descendants)}

@@ -4,7 +4,7 @@ import datetime as dt
 import random
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,7 +43,15 @@ def test_last_by_plain_name_ties_nulls_and_hot_key(spark):
     assert frequency.last_by_plain_name(df.limit(0)).count() == 0
 
 
-def test_profile_and_percentile(spark):
+def test_names_report(spark):
+    rows = [(1, "A-b", T0), (2, "ab", None), (3, "A-b", None), (4, "AB", T0), (5, "--", T0), (6, None, T0), (7, "c", None)]
+    df = spark.createDataFrame(rows, "line_id bigint, c0 string, seen_at timestamp")
+    got = {r.name: (r.line_id, r.n, r.n_spellings, r.spelling) for r in frequency.names_report(df).collect()}
+    assert got == {"ab": (4, 4, 3, "A-b"), "c": (7, 1, 1, "c")}
+
+
+def test_profile_and_percentile(spark, monkeypatch):
+    monkeypatch.setattr(balance.hot_threshold, "__defaults__", (balance.MOST_HOT_KEYS, 3))
     rng = random.Random(2)
     rows = [(rng.choice(["a", "a", "b", None]), rng.choice([None, -5, 3, 3, 7, -(2**63), 2**63 - 1])) for _ in range(500)] + [("only", None)]
     df = spark.createDataFrame(rows, "k string, v bigint")
@@ -51,9 +59,15 @@ def test_profile_and_percentile(spark):
     for k, v in rows:
         if k is not None:
             values[k].append(v)
-    got = {r.key: r for r in frequency.key_profile(df.filter("v is null or v > -9223372036854775808"), F.col("k"), "v").collect()}
+    got = {r.key: r for r in frequency.key_profile(df, F.col("k"), "v").collect()}
     assert got["only"].n == 1 and got["only"].n_values == 0 and got["only"]["mode"] is None
-    assert got["a"].n_values == 4
+    for k in ("a", "b"):
+        counts = Counter(v for v in values[k] if v is not None)
+        most = max(counts.values())
+        assert (got[k].n, got[k].n_values, got[k].mode_n) == (len(values[k]), len(counts), most)
+        assert got[k]["mode"] == min(v for v, c in counts.items() if c == most)
+    low = spark.createDataFrame([("x", -(2**63)), ("x", 5)], "k string, v bigint")
+    assert [tuple(r) for r in frequency.key_profile(low, F.col("k"), "v").collect()] == [("x", 2, 2, -(2**63), 1)]
     for q in (0.01, 0.5, 0.9, 1.0):
         got = {r.key: r.percentile for r in frequency.key_percentile(df, F.col("k"), "v", q).collect()}
         for k in ("a", "b"):
@@ -73,7 +87,7 @@ def test_lookup_spreads_hot_keys(spark):
 
 # ---------------------------------------------------------------- rows that fail to parse
 def brute_reason(line, sep):
-    """A character at a time, independent of the patterns."""
+    """A character at a time, independent of the patterns: the fields, or the reason and the first broken field."""
     sep = chr(int(sep[2:], 16)) if sep and sep.startswith("\\x") and len(sep) == 4 else sep
     sep = sep if sep is not None and len(sep) == 1 else None
     spaces = [c for c in " \t\r" if c != sep]
@@ -87,7 +101,7 @@ def brute_reason(line, sep):
             value = ""
             while True:
                 if j >= len(line):
-                    return "quoting"
+                    return "quoting", min(4, len(fields) + 1)
                 if line[j] == '"':
                     if line[j + 1 : j + 2] == '"':
                         value += '"'
@@ -100,12 +114,12 @@ def brute_reason(line, sep):
             while j < len(line) and line[j] in spaces:
                 j += 1
             if j < len(line) and line[j] != sep:
-                return "quoting"
+                return "quoting", min(4, len(fields) + 1)
         else:
             j = i
             while j < len(line) and line[j] != sep:
                 if line[j] == '"':
-                    return "quoting"
+                    return "quoting", min(4, len(fields) + 1)
                 j += 1
             value = line[i:j]
         fields.append(value.strip("".join(spaces)))
@@ -113,12 +127,12 @@ def brute_reason(line, sep):
             break
         i = j + 1
     if len(fields) not in (2, 3):
-        return "columns"
-    for f in fields[:2]:
+        return "columns", 2 if len(fields) == 1 else 4
+    for i, f in enumerate(fields[:2], 1):
         if not f or re.search("[\x00-\x1f\x7f�]", f):
-            return "value"
+            return "value", i
     if len(fields) == 3 and not (re.fullmatch("-?[0-9]+", fields[2]) and -(2**63) <= int(fields[2]) < 2**63):
-        return "value"
+        return "value", 3
     return [*fields, None][:3]
 
 
@@ -141,11 +155,10 @@ def test_parse_rows_against_brute_force(spark):
     for i, (line, sep) in enumerate(rows):
         want, r = brute_reason(line, sep), out[i]
         assert r._c0 == "kept"
-        if isinstance(want, str):
-            assert (r.reason, r.c0, r.c1, r.c2) == (want, None, None, None), (line, sep)
-            assert r.bad_field in (1, 2, 3)
+        if isinstance(want, tuple):
+            assert (r.reason, r.bad_field, r.c0, r.c1, r.c2) == (*want, None, None, None), (line, sep)
         else:
-            assert (r.reason, r.c0, r.c1, r.c2) == (None, want[0], want[1], None if want[2] is None else int(want[2])), (line, sep)
+            assert (r.reason, r.bad_field, r.c0, r.c1, r.c2) == (None, None, want[0], want[1], None if want[2] is None else int(want[2])), (line, sep)
     assert rowparse.parse_rows(data.limit(0)).count() == 0
 
 
@@ -162,14 +175,19 @@ def brute_tree(links):
     return out
 
 
-@pytest.mark.parametrize("rounds", [0, 2, 9])
-def test_hierarchy_against_brute_force(spark, rounds):
-    rng = random.Random(rounds)
+@pytest.mark.parametrize("worth", [0.3, 1.1])
+def test_hierarchy_against_brute_force(spark, worth, monkeypatch):
+    monkeypatch.setattr(hierarchy, "WORTH_PEELING", worth)
+    monkeypatch.setattr(balance.hot_threshold, "__defaults__", (balance.MOST_HOT_KEYS, 100))
+    rng = random.Random(int(10 * worth))
     links = [(v, rng.choice([None, v, 10_000, rng.randrange(300), max(0, v - 1)])) for v in range(300)]
     links += [(v, v - 1) for v in range(1001, 1060)] + [(1000, None)] + [(2000 + v, 2000 + (v + 1) % 7) for v in range(7)] + [(2100, 2003), (2101, 2100)]
     links += [(5000 + v, 0) for v in range(400)]
     want = brute_tree(links)
-    tree = hierarchy.hierarchy(spark.createDataFrame(links, "node bigint, parent bigint"), rounds)
+    df = spark.createDataFrame([(p, v, v, "x") for v, p in links], "parent bigint, node bigint, size bigint, via string")
+    tree = hierarchy.hierarchy(df)
+    flat = hierarchy.hierarchy(df, paths=False)
+    assert "path" not in flat.columns and sorted(flat.collect(), key=str) == sorted(tree.drop("path").collect(), key=str)
     rows = tree.collect()
     assert len(rows) == len(links)
     below = defaultdict(int)
@@ -186,6 +204,18 @@ def test_hierarchy_against_brute_force(spark, rounds):
     assert pairs == {(a, w[-1], len(w) - 1 - i) for w in want.values() if w[0] != "cycle" for i, a in enumerate(w[:-1])}
 
 
+def test_a_tall_chain_and_a_large_circle_take_few_rounds(spark, monkeypatch):
+    written = []
+    table = hierarchy.Scratch.table
+    monkeypatch.setattr(hierarchy.Scratch, "table", lambda self, df, name="t", **m: written.append(name) or table(self, df, name, **m))
+    n = 400
+    links = [(v, v - 1 if v else None) for v in range(n)] + [(n + v, n + (v + 1) % n) for v in range(n)]
+    rows = hierarchy.hierarchy(spark.createDataFrame(links, "node bigint, parent bigint"), paths=False).collect()
+    assert len(rows) == 2 * n and written.count("marked") < 30
+    assert all((r.depth, r.subtree, r.root) == (r.node, n - r.node, 0) for r in rows if r.node < n)
+    assert all(r.cycle == n for r in rows if r.node >= n)
+
+
 def test_hierarchy_of_nothing(spark):
     assert hierarchy.hierarchy(spark.createDataFrame([], "node bigint, parent bigint")).count() == 0
 
