@@ -47,7 +47,7 @@ def components(edges: DataFrame, label: str = "max") -> DataFrame:
     return lookup(roots, top, "root", roots.row_count, "id", "inner").select("id", "component")
 
 
-def components_text(edges: DataFrame, bidirectional: bool = False, max_rounds: int = 10_000) -> DataFrame:
+def components_text(edges: DataFrame, bidirectional: bool = False, max_rounds: int | None = None) -> DataFrame:
     """id, component by text order, with labels that travel along edges only in their direction.
 
     Each node starts with the largest of its own id and those it points to, and hands its label to those it points to.
