@@ -84,9 +84,10 @@ def _score(total: Column) -> Column:
     return F.when(own & (sigma == 0), F.lit(0).cast(_BIG)).otherwise(exact.cast(_BIG))
 
 
-def best_moves(vertices: DataFrame, messages: DataFrame, total: int, rules: str = NUMERIC) -> DataFrame:
+def best_moves(vertices: DataFrame, messages: DataFrame, total: int, rules: str = NUMERIC, rows: int | None = None) -> DataFrame:
     """id, best, bestName, bestSigma: the community of the largest positive gain; vertices without one are absent."""
-    scored = messages.join(vertices, "id").select("id", "c", "cName", "cSigma", _score(F.lit(total)).alias("score")).filter("score > 0")
+    met = lookup(messages, vertices, "id", rows, "c", "inner") if rows else messages.join(vertices, "id")
+    scored = met.select("id", "c", "cName", "cSigma", _score(F.lit(total)).alias("score")).filter("score > 0")
     if rules == NUMERIC:
         best = F.max(F.struct("score", "c", "cName", "cSigma")).alias("b")
         return scored.groupBy("id").agg(best).select("id", F.col("b.c").alias("best"), F.col("b.cName").alias("bestName"), F.col("b.cSigma").alias("bestSigma"))
@@ -97,7 +98,7 @@ def best_moves(vertices: DataFrame, messages: DataFrame, total: int, rules: str
 def cycle(vertices: DataFrame, edges: DataFrame, total: int, first_half: bool, rules: str = NUMERIC, rows: int | None = None) -> DataFrame:
     """The vertices after one cycle: moves of one direction only, then new community totals."""
     messages = community_messages(vertices, edges, rules, rows)
-    moves = best_moves(vertices, messages, total, rules)
+    moves = best_moves(vertices, messages, total, rules, rows)
     if rules == TEXT:  # vertices without edges of their own leave at the first step
         moves = moves.join(edges.select(F.col("src").alias("id")), "id", "left_semi")
     down = first_half if rules == NUMERIC else not first_half
@@ -118,7 +119,7 @@ def modularity(vertices: DataFrame, edges: DataFrame, total: int, rules: str = N
 
     Vertices without edges don't count, as their neighbourhood is empty, unless count_isolated is set."""
     inside = community_messages(vertices, edges, rules, rows).select("id", "c", "w")
-    own = inside.join(vertices.select("id", "community"), "id").groupBy("id").agg(F.sum(F.when(F.col("c") == F.col("community"), F.col("w")).otherwise(F.lit(0))).alias("w"))
+    own = (lookup(inside, vertices.select("id", "community"), "id", rows, "c", "inner") if rows else inside.join(vertices.select("id", "community"), "id")).groupBy("id").agg(F.sum(F.when(F.col("c") == F.col("community"), F.col("w")).otherwise(F.lit(0))).alias("w"))
     met = vertices.join(own, "id", "left" if count_isolated or rules == TEXT else "inner")
     k, m = F.col("nodeWeight") + F.col("internalWeight"), F.lit(float(total))
     q = (F.col("internalWeight") + F.coalesce("w", F.lit(0))) / m - F.col("communitySigmaTot").cast("double") * k.cast("double") / (m * m)
@@ -190,7 +191,7 @@ def compress(vertices: DataFrame, edges: DataFrame, rules: str = NUMERIC, rows:
 
 def louvain(
     edges: DataFrame, names: DataFrame | None = None, rules: str = NUMERIC, min_progress: int = MIN_PROGRESS, progress_counter: int = PROGRESS_COUNTER,
-    count_isolated: bool = False, max_levels: int = 1000, save=None,
+    count_isolated: bool = False, save=None,
 ) -> Louvain:
     """Levels of communities of edges (src, dst, weight); ``save(index, level)`` is called for each level kept.
 
@@ -203,7 +204,7 @@ def louvain(
     edges = edges.dropna(subset=["src", "dst"]).withColumn("weight", F.coalesce("weight", F.lit(1)).cast("bigint"))
     vertices, edges = initial(edges, names, rules)
     out, before = Louvain(), -1.0
-    while len(out.levels) < max_levels:
+    while True:  # levels gain at least MIN_GAIN (TEXT: a ten-thousandth) of a modularity that is 1 at most
         level = one_level(vertices, edges, tables, rules, min_progress, progress_counter, count_isolated)
         out.tried.append(level.q)
         if rules == NUMERIC and not level.q > before + MIN_GAIN:
@@ -222,22 +223,32 @@ def louvain(
 
 def dendrogram(levels: list[DataFrame]) -> DataFrame:
     """id, c0, c1, ...: the community of each first vertex on every level; null where a community has no next one."""
-    table = levels[0].select("id", F.col("community").alias("c0"))
+    table, rows = levels[0].select("id", F.col("community").alias("c0")), getattr(levels[0], "row_count", None)
+    rows = levels[0].count() if rows is None and len(levels) > 1 else rows
     for i, level in enumerate(levels[1:], 1):
         nxt = level.select(F.col("id").alias(f"c{i - 1}"), F.col("community").alias(f"c{i}"))
-        table = table.join(nxt, f"c{i - 1}", "left")
+        table = lookup(table, nxt, f"c{i - 1}", rows, "id")
     return table.select("id", *[f"c{i}" for i in range(len(levels))])
 
 
 def compress_community_rows(rows: DataFrame) -> DataFrame:
-    """community, weight, edges from rows of (id, community, internalWeight, edges map<target, weight>): weights inside
-    add to the weight, others add up by target. Communities without outside edges have an empty map."""
-    spread = rows.select("community", "internalWeight", F.explode_outer("edges").alias("t", "w"))
-    inside = F.when(F.col("t") == F.col("community"), F.col("w")).otherwise(F.lit(0))
-    own = rows.groupBy("community").agg(F.sum("internalWeight").alias("iw"))
-    loops = spread.groupBy("community").agg(F.sum(F.coalesce(inside, F.lit(0))).alias("loops"))
-    outer = spread.filter("t is not null and t <> community").groupBy("community", "t").agg(F.sum("w").cast("bigint").alias("w"))
-    maps = outer.groupBy("community").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("t", "w")))).alias("edges"))
-    out = own.join(loops, "community").join(maps, "community", "left")
-    empty = F.create_map().cast(maps.schema["edges"].dataType)
-    return out.select("community", (F.col("iw") + F.col("loops")).cast("bigint").alias("weight"), F.coalesce("edges", empty).alias("edges"))
+    """community, weight, target, w from rows of (id, community, internalWeight, edges map<target, weight>): weights inside
+    add to the weight, others add up by target. One row a community and target, so that no task holds all of a
+    community's; a community without outside edges has one row without a target."""
+    spread = rows.select("community", F.inline(F.map_entries("edges")).alias("t", "w"))
+    parts = rows.select("community", F.col("internalWeight").alias("w")).unionByName(spread.filter("t = community").select("community", "w"))
+    own = parts.groupBy("community").agg(F.coalesce(F.sum("w"), F.lit(0)).cast("bigint").alias("weight"))
+    outer = spread.filter("t is not null and t <> community").groupBy("community", F.col("t").alias("target")).agg(F.sum("w").cast("bigint").alias("w"))
+    some = outer.select("community").distinct().withColumn("some", F.lit(True))
+    alone = own.join(some, "community", "left_anti").select("community", F.lit(None).cast(outer.schema["target"].dataType).alias("target"), F.lit(None).cast("bigint").alias("w"))
+    # one row a community carries its weight, and joins its targets by salt where there are many
+    n = outer.count()
+    met = lookup(outer, own, "community", n, "target", "inner") if n else outer.join(own, "community")
+    return met.select("community", "weight", "target", "w").unionByName(alone.join(own, "community").select("community", "weight", "target", "w"))
+
+
+def community_maps(compressed: DataFrame) -> DataFrame:
+    """community, weight, edges (map) of such rows, for layouts that hold a community's edges in one value."""
+    entry = F.struct("target", "w")
+    out = compressed.groupBy("community", "weight").agg(F.sort_array(F.collect_list(F.when(F.col("target").isNotNull(), entry))).alias("e"))
+    return out.select("community", "weight", F.map_from_entries("e").alias("edges"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.balance import lookup
 from graphloom.operators.betweenness import HighBetweenness
 from graphloom.operators.louvain import Level
 
@@ -32,7 +33,8 @@ def edge_lines(edges: DataFrame, delimiter: str = ",") -> DataFrame:
 
 def component_lines(edges: DataFrame, labels: DataFrame, delimiter: str = ",") -> DataFrame:
     """src, dst and the source's component of every edge."""
-    return edges.join(labels.select(F.col("id").alias("src"), "component"), "src").select(_line(delimiter, "src", "dst", "component"))
+    met = lookup(edges, labels.select(F.col("id").alias("src"), "component"), "src", edges.count(), "dst", "inner")
+    return met.select(_line(delimiter, "src", "dst", "component"))
 
 
 def vertex_lines(values: DataFrame, value: str, delimiter: str = ",") -> DataFrame:
@@ -52,10 +54,15 @@ def betweenness_stats(found: HighBetweenness, settings: dict, seconds: float) ->
     return {**settings, "pivots_selected": found.pivots, "pivots_percent": 100 * found.pivots / max(1, n), "cycles": found.cycles, "last_difference": found.last_difference, "seconds": seconds}
 
 
+def set_lines(found: HighBetweenness) -> DataFrame:
+    """The ids of the top set."""
+    return found.top.select(F.col("id").cast("string").alias("value"))
+
+
 def write_set_and_stats(found: HighBetweenness, stats: dict, path: str) -> None:
     """final_set.csv with the ids of the top set, stats.csv with the figures."""
     spark = found.top.sparkSession
-    write(found.top.select(F.col("id").cast("string").alias("value")), f"{path}/final_set.csv", single=True)
+    write(set_lines(found), f"{path}/final_set.csv", single=True)
     write(spark.createDataFrame([(f"{k},{v}",) for k, v in stats.items()], "value string"), f"{path}/stats.csv", single=True)
 
 
@@ -66,12 +73,21 @@ def state_line(columns: DataFrame) -> Column:
     return F.concat(F.lit("("), columns["id"].cast("string"), F.lit(",{"), F.concat_ws(",", *pairs), F.lit("})")).alias("value")
 
 
+def level_edge_lines(edges: DataFrame) -> DataFrame:
+    """Edge(src,dst,weight) of every edge between communities."""
+    return edges.select(F.concat(F.lit("Edge("), F.concat_ws(",", *[F.col(c).cast("string") for c in ("src", "dst", "weight")]), F.lit(")")).alias("value"))
+
+
+def q_lines(spark: SparkSession, q_values: list[float]) -> DataFrame:
+    """(level,modularity) of the levels so far."""
+    return spark.createDataFrame([(f"({i},{q})",) for i, q in enumerate(q_values)], "value string")
+
+
 def write_level(index: int, level: Level, path: str, q_values: list[float]) -> None:
     """level_<i>_vertices, level_<i>_edges and the modularities so far, qvalues_<i>."""
     write(level.vertices.select(state_line(level.vertices)), f"{path}/level_{index}_vertices")
-    write(level.edges.select(F.concat(F.lit("Edge("), F.concat_ws(",", *[F.col(c).cast("string") for c in ("src", "dst", "weight")]), F.lit(")")).alias("value")), f"{path}/level_{index}_edges")
-    spark = level.vertices.sparkSession
-    write(spark.createDataFrame([(f"({i},{q})",) for i, q in enumerate(q_values)], "value string"), f"{path}/qvalues_{index}", single=True)
+    write(level_edge_lines(level.edges), f"{path}/level_{index}_edges")
+    write(q_lines(level.vertices.sparkSession, q_values), f"{path}/qvalues_{index}", single=True)
 
 
 def neighbor_lines(rows: DataFrame, delimiter: str = ",", split: str = ":") -> DataFrame:
@@ -85,7 +101,7 @@ def configurable_edge_lines(edges: DataFrame, vertices: DataFrame | None = None,
     own = "value" if "value" in edges.columns else "weight"
     out = edges.withColumnRenamed(own, "_edge") if own in edges.columns else edges.withColumn("_edge", F.lit(""))
     if write_vertex_value:
-        out = out.join(vertices.select(F.col("id").alias("src"), F.col("value").alias("_vertex")), "src")
+        out = lookup(out, vertices.select(F.col("id").alias("src"), F.col("value").alias("_vertex")), "src", edges.count(), "dst", "inner")
     columns = ["src", "dst", *["_vertex"] * write_vertex_value, *["_edge"] * write_edge_value]
     return out.select(_line(delimiter, *columns))
 
@@ -96,7 +112,10 @@ def tab_vertex_lines(values: DataFrame, value: str) -> DataFrame:
 
 
 def community_vertex_lines(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """id TAB community TAB internalWeight TAB target:weight,... with targets in order; without edges there is no last field."""
+    """id TAB community TAB internalWeight TAB target:weight,... with targets in order; without edges there is no last field.
+
+    The layout puts all edges of a vertex on one line, so that line, and the task that makes it, is as large as they are.
+    """
     lists = edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list(F.struct("dst", "weight"))).alias("e"))
     text = F.array_join(F.transform("e", lambda x: F.concat_ws(":", x["dst"].cast("string"), x["weight"].cast("string"))), ",")
     return vertices.join(lists, "id", "left").select(F.concat_ws("\t", F.col("id").cast("string"), F.col("community").cast("string"), F.col("internalWeight").cast("string"), text).alias("value"))
