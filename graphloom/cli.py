@@ -87,12 +87,15 @@ def run(spark: SparkSession, args: argparse.Namespace) -> str:
     """Run the analytic and write its result; returns the folder."""
     conf = settings_of(args).custom
     logging.getLogger("graphloom").setLevel(conf["log.level"])
-    out = text.run_folder(args.output) if args.timestamp else args.output.rstrip("/")
+    base = conf.get("hdfs.url", "") + args.output
+    out = text.run_folder(base) if args.timestamp else base.rstrip("/")
     lines = read_lines(spark, args.input, int(conf["parallelism"]))
     began, analytic = time.time(), args.analytic
     if analytic in NUMERIC:
         edges = strict_edges(lines, args.delimiter)
-        if args.names_to_numbers:
+        # ids compare as numbers where all of them are; one pass tells
+        texts = F.count(F.when(F.col("src").try_cast("bigint").isNull() | F.col("dst").try_cast("bigint").isNull(), 1))
+        if args.names_to_numbers or not edges.agg(texts.alias("n")).first().n:
             edges = edges.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), "weight")
         moves = {"min_progress": int(conf["minProgress"]), "progress_counter": int(conf["progressCounter"])}
         if analytic in ("wcc", "wcc_min"):
@@ -156,6 +159,8 @@ def main(argv: list[str] | None = None) -> int:
     conf = {k.replace(".", "__"): v for k, v in settings_of(args).system.items() if k.startswith("spark.")}
     if args.kryo:
         conf["spark__serializer"] = "org.apache.spark.serializer.KryoSerializer"
+    if args.workers is not None:
+        conf.setdefault("spark__executor__instances", str(args.workers))
     if args.jars:
         conf["spark__jars"] = args.jars
     if args.home:

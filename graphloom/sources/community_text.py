@@ -18,7 +18,7 @@ def community_rows(lines: DataFrame) -> DataFrame:
 
 def community_edges(rows: DataFrame) -> DataFrame:
     """src, dst, weight of the ``t:w,t:w`` lists: stray commas are skipped, a part without a weight counts 1, repeated
-    targets add up. Repeated rows are taken as they are."""
+    targets add up. Edges of repeated rows add up as well."""
     part = rows.select(F.col("id").alias("src"), F.explode(F.split("edges", ",")).alias("p")).filter(F.trim("p") != "")
     target = F.trim(F.split("p", ":")[0])
     weight = F.coalesce(F.try_element_at(F.split("p", ":"), F.lit(2)).try_cast("bigint"), F.lit(1).cast("bigint"))
@@ -27,7 +27,8 @@ def community_edges(rows: DataFrame) -> DataFrame:
 
 def community_states(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(vertices, edges) of a stage from such rows, with the columns of the Louvain operators: the node weight is the
-    sum of the weights of the vertex's edges, its community is itself."""
+    sum of the weights of the vertex's edges, its community is itself. Repeated rows of a vertex are parts of its edges,
+    which add up, but each states its whole internal weight, of which the largest counts; null is 0."""
     edges = community_edges(rows)
     own = rows.groupBy("id").agg(F.max(F.coalesce("internalWeight", F.lit(0))).cast("bigint").alias("internalWeight"))
     weights = edges.groupBy(F.col("src").alias("id")).agg(F.sum("weight").cast("bigint").alias("nw"))

@@ -88,13 +88,18 @@ def first_seen_dictionary(spark: SparkSession, path: str, delimiter: str = "\t")
     The order of lines is that of the file's blocks, numbered by partition; the dense numbers come from ranks over
     range partitions.
     """
+    fields = F.split("value", re.escape(delimiter))
+    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).withColumn("f", fields).filter(F.size("f") >= 2)
+    return number_as_seen(lines.select("line", F.trim(F.col("f")[0]).alias("src"), F.trim(F.col("f")[1]).alias("dst")))
+
+
+def number_as_seen(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(dictionary (name, id), edges (src, dst)) of rows (line, src, dst) in the order of ``line``; null ends have no number."""
     from graphloom.graph import dense_ranks
     from graphloom.scratch import Scratch
 
-    tables = Scratch(spark, "first-seen")
-    fields = F.split("value", re.escape(delimiter))
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).withColumn("f", fields).filter(F.size("f") >= 2)
-    rows = tables.table(lines.select("line", F.trim(F.col("f")[0]).alias("src"), F.trim(F.col("f")[1]).alias("dst")), "lines")
+    tables = Scratch(rows.sparkSession, "first-seen")
+    rows = tables.table(rows, "lines")
     ends = rows.select(F.inline(F.array(F.struct(F.col("src").alias("name"), (F.col("line") * 2).alias("at")), F.struct(F.col("dst").alias("name"), (F.col("line") * 2 + 1).alias("at")))))
-    ranks = dense_ranks(ends.groupBy("name").agg(F.min("at").alias("at")), ["at"], tables)
+    ranks = dense_ranks(ends.filter(F.col("name").isNotNull()).groupBy("name").agg(F.min("at").alias("at")), ["at"], tables)
     return ranks.select("name", "id"), rows.select("src", "dst")
