@@ -39,7 +39,7 @@ _SHARES = """s AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY s
     v AS MATERIALIZED (SELECT src AS id FROM u UNION SELECT dst FROM u), c AS MATERIALIZED (SELECT count(*) AS n FROM v)"""
 
 
-def _push(start: str, first: str, delta: float, rounds: int = 60) -> str:
+def _push(start: str, first: str, delta: float | str, rounds: int = 60) -> str:
     parts = [f"r0 AS MATERIALIZED (SELECT id, CAST({start} AS DOUBLE) AS rank, CAST({first} AS DOUBLE) AS diff FROM v, c)"]
     for i in range(rounds):
         parts.append(f"""r{i + 1} AS MATERIALIZED (SELECT r.id, r.rank + coalesce(m.got, 0) AS rank, m.got AS diff FROM r{i} r LEFT JOIN (
@@ -136,6 +136,7 @@ ORACLES = {
     "leaf_compression": _leaf("g"),
     "leaf_compression_both": _leaf("b"),
     "pagerank_delta": _push("1.85::DOUBLE / n", "0.85::DOUBLE / n", 0.001),
+    "pagerank_delta_relative": _push("1.85::DOUBLE / n", "0.85::DOUBLE / n", "(SELECT 0.01::DOUBLE / n FROM c)"),
     "pagerank_library": _push("0.15", "0.15", 0.01),
     "pagerank_power": _power(),
     "louvain_initial": f"WITH {_G}, {_MERGED} {_STATE} FROM v0",

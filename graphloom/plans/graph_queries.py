@@ -134,6 +134,11 @@ def leaf_compression_both(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaf.leaf_compression(graph.reverse_duplicated(edge_list(spark, sf_dir)))
 
 
+def leaf_compression_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The core of the users in the order of their events, which is not empty."""
+    return leaf.leaf_compression(derive.user_sequence(spark, sf_dir)).select("src", "dst", F.col("weight").cast("int").alias("weight"))
+
+
 def leaf_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = graph.merge_parallel(graph.reverse_duplicated(edge_list(spark, sf_dir)))
     return leaf.leaf_folding(both)[1]
@@ -147,6 +152,11 @@ def pagerank_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(pagerank.pagerank_delta(derive.user_sequence(spark, sf_dir)), "rank")
 
 
+def pagerank_delta_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the delta a share of 1/N, which is not met at once on graphs of any size."""
+    return _rounded(pagerank.pagerank_delta(derive.user_sequence(spark, sf_dir), 0.01, relative=True), "rank")
+
+
 def pagerank_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(pagerank.pagerank_library(derive.user_sequence(spark, sf_dir), 0.01), "rank")
 
@@ -208,7 +218,15 @@ def louvain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def louvain_dendrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return louvain.dendrogram([lv.vertices for lv in louvain.louvain(edge_list(spark, sf_dir)).levels])
+    """One row a first vertex and level that it has a community on."""
+    table = louvain.dendrogram([lv.vertices for lv in louvain.louvain(edge_list(spark, sf_dir)).levels])
+    levels = [F.struct(F.lit(i).alias("level"), F.col(c).alias("community")) for i, c in enumerate(table.columns[1:])]
+    return table.select("id", F.inline(F.array(*levels))).filter(F.col("community").isNotNull())
+
+
+def louvain_level_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The modularity of every level kept."""
+    return louvain.louvain(edge_list(spark, sf_dir)).q_values(spark).select("level", F.round("q", 9).alias("q"))
 
 
 def louvain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +241,7 @@ def community_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = community_text.community_edges(derive.read(spark, sf_dir, "community_graph"))
     lists = edges.groupBy(F.col("src").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("dst", "weight"))).alias("edges"), F.min("dst").alias("community"))
     rows = lists.select("id", "community", F.lit(1).cast("bigint").alias("internalWeight"), "edges")
-    return louvain.compress_community_rows(rows).select("community", "weight", F.explode_outer("edges").alias("target", "w"))
+    return louvain.compress_community_rows(rows)
 
 
 def neighboring_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,9 +252,20 @@ def betweenness_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(betweenness.betweenness(derive.user_sequence(spark, sf_dir)), "betweenness")
 
 
+def betweenness_one_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With one predecessor kept of several."""
+    return _rounded(betweenness.betweenness(derive.user_sequence(spark, sf_dir), ties="one"), "betweenness")
+
+
+def betweenness_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges have lengths: their number less one, at most two; a length of zero counts as one."""
+    edges = graph.merge_parallel(derive.user_sequence(spark, sf_dir)).withColumn("weight", F.least(F.col("weight"), F.lit(3)) - 1)
+    return _rounded(betweenness.betweenness(edges), "betweenness")
+
+
 def hbse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten highest of twelve pivots or more."""
-    return betweenness.high_betweenness(derive.user_sequence(spark, sf_dir), k=10, batch=6, most_pivots=10).top
+    return _rounded(betweenness.high_betweenness(derive.user_sequence(spark, sf_dir), k=10, batch=6, most_pivots=10).top, "betweenness")
 
 
 QUERIES = {
@@ -244,8 +273,10 @@ QUERIES = {
     for f in (
         edge_list, edge_text_strict, edge_text_numeric, edge_text_tokens, reverse_duplicate_edges, merge_parallel_edges, distinct_nodes, node_dictionary, encoded_edges,
         out_degree, weighted_degree, subgraph, triplets, top_degree, community_edges, community_states, ipv4_round_trip, nation_trade, part_next_degree, user_sequence,
-        wcc_max, wcc_min, wcc_text, wcc_text_directed, leaf_compression, leaf_compression_both, leaf_fold, pagerank_delta, pagerank_library, pagerank_power,
+        wcc_max, wcc_min, wcc_text, wcc_text_directed, leaf_compression, leaf_compression_both, leaf_compression_sequence, leaf_fold, pagerank_delta,
+        pagerank_delta_relative, pagerank_library, pagerank_power,
         louvain_initial, louvain_messages, louvain_best_move, louvain_one_cycle, louvain_level0, louvain_modularity, louvain_compress, louvain_compress_edges,
-        louvain_labels, louvain_dendrogram, louvain_text, community_compression, neighboring_communities, betweenness_exact, hbse_topk,
+        louvain_labels, louvain_dendrogram, louvain_level_q, louvain_text, community_compression, neighboring_communities, betweenness_exact, betweenness_one_path, betweenness_lengths,
+        hbse_topk,
     )
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.plans import graph_oracles, graph_queries, problem_oracles, problems
+from graphloom.plans import graph_oracles, graph_queries, layout_queries, level_oracles, problem_oracles, problems
 
-QUERIES = {**graph_queries.QUERIES, **problems.QUERIES}
-ORACLES = {**graph_oracles.ORACLES, **problem_oracles.ORACLES}
+QUERIES = {**graph_queries.QUERIES, **layout_queries.QUERIES, **problems.QUERIES}
+ORACLES = {**graph_oracles.ORACLES, **level_oracles.ORACLES, **problem_oracles.ORACLES}
