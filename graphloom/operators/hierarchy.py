@@ -127,10 +127,13 @@ def _restored(rings: DataFrame, gone: list[tuple[DataFrame, DataFrame | None, in
             F.when(~lost, F.col("subtree")).alias("subtree"), "cycle",
         )
         # what was found before is written again with it, unless it is much more: so there are few tables to read
+        merged = []
         while parts and parts[-1][1] <= 2 * n:
             before, m = parts.pop()
             found, n = before.unionByName(found), n + m
+            merged.append(before)
         parts.append((tables.table(found, "found"), n))
+        tables.drop(*merged, leaves, *([] if out is None else [out]))
     out = _union([p for p, _ in parts])
     return out.select(*facts).withColumn("depth", F.col("depth").cast("int"))
 

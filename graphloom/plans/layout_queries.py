@@ -12,7 +12,7 @@ from graphloom import graph
 from graphloom.functions.ipv4 import ipv4_to_long, long_to_ipv4
 from graphloom.operators import betweenness, bsp, components, leaf, louvain, neighbors, pagerank
 from graphloom.plans import derive
-from graphloom.plans.graph_queries import edge_list
+from graphloom.plans.graph_queries import _level0, edge_list
 from graphloom.sinks import text
 from graphloom.sources import community_text, edge_text
 
@@ -52,10 +52,6 @@ def sink_betweenness_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.set_lines(_high(spark, sf_dir))
 
 
-def _level0(spark: SparkSession, sf_dir: str) -> louvain.Level:
-    return louvain.louvain(edge_list(spark, sf_dir)).levels[0]
-
-
 def sink_level_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = _level0(spark, sf_dir)
     return level.vertices.select(text.state_line(level.vertices))

@@ -1,5 +1,6 @@
 """Graph fixtures: edges as text, a third number being the weight."""
 
+# Small graphs of which results are known elsewhere, so that equal results show equal rules.
 W1 = "1,2 2,3 3,4 4,5 5,6"
 W2 = W1 + " 7,8 8,9"
 W3 = W2 + " 10,11 11,12 12,10 10,13 13,14"
@@ -17,7 +18,7 @@ F1 = (
     "19,20 20,3 20,19"
 )
 F2 = "1,2 4,3 28,16"
-F3 = "Jack,Jill Jill,Jack Jane,Jill Jill,Jane Jack,Jane Jane,Jack Jane,Gregory Gregory,Straxx"
+F3 = "fir,elm elm,fir oak,elm elm,oak fir,oak oak,fir oak,ash ash,yew"
 P3 = "1,2 2,1 2,3 3,2 3,1 1,3"
 P4 = C3.replace(" 5,4 4,2", "")
 L2 = W1 + " 10,16 10,11 10,12 10,13 10,14 10,15"

@@ -61,8 +61,8 @@ def test_leaf_folding(spark):
     edges, nodes = leaf.leaf_folding(graph(spark, F2, str))
     assert labels(nodes, "value") == {"2": 1, "3": 1, "16": 1} and edges.count() == 0
     edges, nodes = leaf.leaf_folding(graph(spark, F3, str))
-    assert labels(nodes, "value") == {"Jack": 0, "Jill": 0, "Jane": 0, "Straxx": 1}
-    assert ("Jane", "Gregory") in {(r.src, r.dst) for r in edges.collect()}
+    assert labels(nodes, "value") == {"fir": 0, "elm": 0, "oak": 0, "yew": 1}
+    assert ("oak", "ash") in {(r.src, r.dst) for r in edges.collect()}
 
 
 def test_pagerank_delta(spark):
@@ -178,11 +178,12 @@ def test_louvain_of_text(spark):
 
 def test_community_rows_and_dendrogram(spark):
     rows = spark.createDataFrame([("1", "1", 0, {"2": 1})], "id string, community string, internalWeight bigint, edges map<string,bigint>")
-    r = louvain.compress_community_rows(rows).collect()
-    assert [(x.community, x.weight, x.edges) for x in r] == [("1", 0, {"2": 1})]
+    assert [tuple(x) for x in louvain.compress_community_rows(rows).collect()] == [("1", 0, "2", 1)]
     rows = spark.createDataFrame([("1", "a", 3, {"a": 2, "b": 1}), ("2", "a", 0, {"b": 4, "c": 1}), ("3", "z", 7, {})], rows.schema)
-    got = {x.community: (x.weight, x.edges) for x in louvain.compress_community_rows(rows).collect()}
-    assert got == {"a": (5, {"b": 5, "c": 1}), "z": (7, {})}
+    got = louvain.compress_community_rows(rows)
+    assert {tuple(x) for x in got.collect()} == {("a", 5, "b", 5), ("a", 5, "c", 1), ("z", 7, None, None)}
+    assert {x.community: (x.weight, x.edges) for x in louvain.community_maps(got).collect()} == {"a": (5, {"b": 5, "c": 1}), "z": (7, {})}
+    assert louvain.compress_community_rows(rows.limit(0)).count() == 0
     low = spark.createDataFrame([("1", "2"), ("2", "2"), ("3", "2"), ("5", "2"), ("7", "9")], "id string, community string")
     high = spark.createDataFrame([("2", "6")], "id string, community string")
     got = {tuple(r) for r in louvain.dendrogram([low, high]).collect()}
@@ -271,3 +272,73 @@ def test_rounds_that_do_not_suffice_are_an_error(spark):
         with pytest.raises(RuntimeError):
             run(2)
         run(9)
+
+
+@pytest.fixture
+def low_threshold(monkeypatch):
+    """Keys of more than five rows are hot."""
+    from graphloom import balance
+
+    monkeypatch.setattr(balance.hot_threshold, "__defaults__", (balance.MOST_HOT_KEYS, 5))
+
+
+def _hubs():
+    """Two hubs that share some neighbours, and chains."""
+    return " ".join([f"1,{i},{i % 3}" for i in range(2, 30)] + [f"{i},40,2" for i in range(20, 36)] + ["40,41", "41,42", "42,1", "50,51", "51,52"])
+
+
+@pytest.mark.parametrize("what", ["betweenness", "folding", "neighbors", "lines"])
+def test_hubs_above_the_threshold_give_the_same(spark, low_threshold, monkeypatch, what):
+    from graphloom import balance
+    from graphloom.graph import reverse_duplicated
+    from graphloom.sinks import text
+
+    edges = graph(spark, _hubs())
+
+    def run():
+        if what == "betweenness":
+            out = betweenness.high_betweenness(edges, k=3, batch=12, most_pivots=10).betweenness.select("id", F.round("betweenness", 9))
+        elif what == "folding":
+            out = leaf.leaf_folding(reverse_duplicated(edges))[1]
+        elif what == "neighbors":
+            out = neighbors.neighboring_communities(edges)
+        else:
+            labels = components.components(edges)
+            out = text.component_lines(edges, labels).unionByName(text.configurable_edge_lines(edges, labels.withColumnRenamed("component", "value"), write_vertex_value=True, write_edge_value=True))
+        return sorted(out.collect(), key=str)
+
+    salted = run()
+    monkeypatch.setattr(balance.hot_threshold, "__defaults__", (balance.MOST_HOT_KEYS, 50_000))
+    assert salted == run() and salted
+
+
+def test_loops_go_on_to_the_end_or_raise(spark):
+    chain = graph(spark, " ".join(f"{i + 1},{i}" for i in range(12)), str)
+    assert {r.component for r in components.components_text(chain).collect() if r.id in ("0", "5")} == {"9"}
+    both = graph(spark, " ".join(f"{i},{i + 1} {i + 1},{i}" for i in range(12)))
+    for run in (
+        lambda: components.components_text(chain, max_rounds=3), lambda: leaf.leaf_compression(both, 2), lambda: leaf.leaf_folding(both, 2),
+        lambda: pagerank.pagerank_delta(both, max_rounds=1), lambda: pagerank.pagerank_library(both, max_rounds=1), lambda: pagerank.pagerank_power(both, max_rounds=1),
+    ):
+        with pytest.raises(RuntimeError):
+            run()
+    assert leaf.leaf_compression(both).count() == 0
+
+
+def test_folding_keeps_the_columns_of_edges(spark):
+    df = spark.createDataFrame([("a", "b", "x", 1), ("b", "a", "y", 2), ("b", "c", "z", 3), ("c", "b", "q", 4), ("a", "c", "r", 5), ("c", "a", "s", 6), ("d", "a", "t", 7)],
+                               "src string, dst string, value string, id int")
+    left, nodes = leaf.leaf_folding(df)
+    assert left.columns == df.columns and {r.value for r in left.collect()} == set("xyzqrs")
+    assert labels(nodes, "value") == {"a": 1, "b": 0, "c": 0}
+
+
+def test_a_message_loop_halts_by_its_aggregates(spark):
+    edges = graph(spark, " ".join(f"{i},{i + 1}" for i in range(20)))
+    nodes = spark.range(21)
+    seen = []
+    out = bsp.propagate(
+        nodes, edges, F.col("value"), F.min, F.least("value", "msg"), F.col("id"), F.col("new") < F.col("value"),
+        aggregates={"zeros": F.count(F.when(F.col("value") == 0, 1))}, halt=lambda r, m: seen.append((r, m["zeros"])) or m["zeros"] >= 4,
+    )
+    assert seen == [(0, 2), (1, 3), (2, 4)] and out.filter("value = 0").count() == 4
