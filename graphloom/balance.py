@@ -29,16 +29,25 @@ def hot_keys(df: DataFrame, keys: Sequence[str], rows: int, **bounds: int) -> Da
     )
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, rows: int, spread: str, how: str = "left", **bounds: int) -> DataFrame:
+def known_hot(tables, df: DataFrame, key: str, rows: int) -> tuple[DataFrame | None, int]:
+    """The hot keys of a table that is joined by ``key`` again and again, written once, and the number of rows to give to
+    :func:`lookup`: 0 if there are none."""
+    if rows <= hot_threshold(rows):
+        return None, 0
+    found = tables.table(hot_keys(df.filter(F.col(key).isNotNull()), [key], rows), "hot")
+    return (found, rows) if found.row_count else (None, 0)
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, rows: int, spread: str, how: str = "left", hot: DataFrame | None = None, **bounds: int) -> DataFrame:
     """Join left (many rows a key) to right (one row a key) on the column ``key`` with no task holding a hot key whole.
 
     Rows of a hot key are spread over salts by the hash of the column ``spread``; only the matching rows of right are
     repeated, once for each salt. Hot keys are found by a pre-aggregated count and broadcast, which
-    :func:`hot_threshold` bounds. Null keys match nothing. The key columns must not be null in right.
+    :func:`hot_threshold` bounds; ``hot`` gives them where they are known, or a few more. Null keys match nothing. The key columns must not be null in right.
     """
     if rows <= hot_threshold(rows, **bounds):  # no key can be hot
         return left.join(right, key, how)
-    hot = hot_keys(left.filter(F.col(key).isNotNull()), [key], rows, **bounds)
+    hot = hot_keys(left.filter(F.col(key).isNotNull()), [key], rows, **bounds) if hot is None else hot
     salt = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(spread), F.col("_parts"))).otherwise(F.lit(0)).cast("int")
     salted = left.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_parts")
     copies = (

@@ -12,7 +12,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.balance import lookup
+from graphloom.balance import known_hot, lookup
 from graphloom.scratch import Scratch
 
 
@@ -24,11 +24,12 @@ def rounds(most: int | None, what: str) -> Iterator[int]:
         yield r
 
 
-def send(edges: DataFrame, state: DataFrame, rows: int, along: str = "out") -> DataFrame:
+def send(edges: DataFrame, state: DataFrame, rows: int, along: str = "out", hot: DataFrame | None = None) -> DataFrame:
     """Edges with the state columns of the sending end: its source (out) or its target (in). Edges whose sender is not
-    in state send nothing; senders with many edges are salted."""
+    in state send nothing; senders with many edges are salted; ``hot`` are
+    those with their parts, where they are known (:func:`graphloom.balance.known_hot`)."""
     key, other = ("src", "dst") if along == "out" else ("dst", "src")
-    return lookup(edges, state.withColumnRenamed("id", key), key, rows, other, "inner")
+    return lookup(edges, state.withColumnRenamed("id", key), key, rows, other, "inner", hot=hot)
 
 
 def propagate(
@@ -47,12 +48,15 @@ def propagate(
     tables = Scratch(edges.sparkSession, "propagate")
     edges = tables.table(edges, "edges")
     state = tables.table(vertices.withColumn("value", start).withColumn("active", F.lit(True)), "state")
+    ways = ("out", "in") if direction == "either" else (direction,)
+    hubs = {way: known_hot(tables, edges, "src" if way == "out" else "dst", edges.row_count) for way in ways}
     others = [c for c in vertices.columns if c != "id"]
     for r in rounds(max_rounds, "the spread of messages"):
         senders = state.filter("active").select("id", "value")
         sent = None
-        for way in ("out", "in") if direction == "either" else (direction,):
-            part = send(edges, senders, edges.row_count, way).select(F.col("dst" if way == "out" else "src").alias("id"), message.alias("msg"))
+        for way in ways:
+            hot, n = hubs[way]
+            part = send(edges, senders, n, way, hot).select(F.col("dst" if way == "out" else "src").alias("id"), message.alias("msg"))
             sent = part if sent is None else sent.unionByName(part)
         merged = sent.groupBy("id").agg(merge(F.col("msg")).alias("msg"))
         new = F.when(F.col("msg").isNull(), F.col("value")).otherwise(apply)

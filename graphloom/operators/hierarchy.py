@@ -133,7 +133,7 @@ def _restored(rings: DataFrame, gone: list[tuple[DataFrame, DataFrame | None, in
             found, n = before.unionByName(found), n + m
             merged.append(before)
         parts.append((tables.table(found, "found"), n))
-        tables.drop(*merged, leaves, *([] if out is None else [out]))
+        tables.drop(*merged)
     out = _union([p for p, _ in parts])
     return out.select(*facts).withColumn("depth", F.col("depth").cast("int"))
 

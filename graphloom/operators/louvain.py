@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.balance import lookup
+from graphloom.balance import hot_keys, known_hot, lookup
 from graphloom.graph import merge_parallel, reverse_duplicated
 from graphloom.scratch import Scratch
 
@@ -24,15 +24,43 @@ MAX_CYCLES = 100_000
 _BIG = "decimal(38,0)"
 
 
+@dataclass(frozen=True)
+class Hubs:
+    """Vertices with so many edges that joins on them are salted: as senders and as receivers of messages, which are no
+    more than the edges; rows is the number of edges in both directions if there are any, and vertices that of vertices."""
+
+    senders: DataFrame | None = None
+    receivers: DataFrame | None = None
+    rows: int = 0
+    vertices: int = 0
+
+    @classmethod
+    def of(cls, vertices: DataFrame, edges: DataFrame, tables: Scratch, rules: str) -> Hubs:
+        arcs, n = (edges, edges.row_count) if rules == TEXT else (reverse_duplicated(edges), 2 * edges.row_count)
+        senders, rows = known_hot(tables, arcs, "src", n)
+        if rules != TEXT:  # every edge goes both ways
+            return cls(senders, None if senders is None else senders.withColumnRenamed("src", "id"), rows, vertices.row_count)
+        receivers, more = known_hot(tables, arcs.withColumnRenamed("dst", "id"), "id", n)
+        if not rows and not more:
+            return cls(vertices=vertices.row_count)
+        none = hot_keys(arcs.limit(0), ["src"], 1)
+        receivers = none.withColumnRenamed("src", "id") if receivers is None else receivers
+        return cls(none if senders is None else senders, receivers, n, vertices.row_count)
+
+
+NONE = Hubs()
+
+
 @dataclass
 class Level:
     """One level: vertices (id, name, community, communityName, communitySigmaTot, internalWeight, nodeWeight, changed),
-    its edges, the modularity, and the number of passes (pairs of cycles)."""
+    its edges, the modularity, the number of passes (pairs of cycles), and its hubs."""
 
     vertices: DataFrame
     edges: DataFrame
     q: float
     passes: int
+    hubs: Hubs = NONE
 
 
 @dataclass
@@ -66,11 +94,11 @@ def initial(edges: DataFrame, names: DataFrame | None = None, rules: str = NUMER
     return vertices, merged
 
 
-def community_messages(vertices: DataFrame, edges: DataFrame, rules: str = NUMERIC, rows: int | None = None) -> DataFrame:
+def community_messages(vertices: DataFrame, edges: DataFrame, rules: str = NUMERIC, hubs: Hubs = NONE) -> DataFrame:
     """id, c, cName, cSigma, w: the weight of each vertex's edges to each neighbouring community."""
     arcs = edges if rules == TEXT else reverse_duplicated(edges)
     told = vertices.select(F.col("id").alias("src"), F.col("community").alias("c"), F.col("communityName").alias("cName"), F.col("communitySigmaTot").alias("cSigma"))
-    met = lookup(arcs, told, "src", rows, "dst", "inner") if rows else arcs.join(told, "src")
+    met = lookup(arcs, told, "src", hubs.rows, "dst", "inner", hot=hubs.senders)
     return met.groupBy(F.col("dst").alias("id"), "c", "cName", "cSigma").agg(F.sum("weight").cast("bigint").alias("w"))
 
 
@@ -84,9 +112,9 @@ def _score(total: Column) -> Column:
     return F.when(own & (sigma == 0), F.lit(0).cast(_BIG)).otherwise(exact.cast(_BIG))
 
 
-def best_moves(vertices: DataFrame, messages: DataFrame, total: int, rules: str = NUMERIC, rows: int | None = None) -> DataFrame:
+def best_moves(vertices: DataFrame, messages: DataFrame, total: int, rules: str = NUMERIC, hubs: Hubs = NONE) -> DataFrame:
     """id, best, bestName, bestSigma: the community of the largest positive gain; vertices without one are absent."""
-    met = lookup(messages, vertices, "id", rows, "c", "inner") if rows else messages.join(vertices, "id")
+    met = lookup(messages, vertices, "id", hubs.rows, "c", "inner", hot=hubs.receivers)
     scored = met.select("id", "c", "cName", "cSigma", _score(F.lit(total)).alias("score")).filter("score > 0")
     if rules == NUMERIC:
         best = F.max(F.struct("score", "c", "cName", "cSigma")).alias("b")
@@ -95,10 +123,10 @@ def best_moves(vertices: DataFrame, messages: DataFrame, total: int, rules: str
     return scored.groupBy("id").agg(best).select("id", F.col("b.c").alias("best"), F.col("b.cName").alias("bestName"), F.col("b.cSigma").alias("bestSigma"))
 
 
-def cycle(vertices: DataFrame, edges: DataFrame, total: int, first_half: bool, rules: str = NUMERIC, rows: int | None = None) -> DataFrame:
+def cycle(vertices: DataFrame, edges: DataFrame, total: int, first_half: bool, rules: str = NUMERIC, hubs: Hubs = NONE) -> DataFrame:
     """The vertices after one cycle: moves of one direction only, then new community totals."""
-    messages = community_messages(vertices, edges, rules, rows)
-    moves = best_moves(vertices, messages, total, rules, rows)
+    messages = community_messages(vertices, edges, rules, hubs)
+    moves = best_moves(vertices, messages, total, rules, hubs)
     if rules == TEXT:  # vertices without edges of their own leave at the first step
         moves = moves.join(edges.select(F.col("src").alias("id")), "id", "left_semi")
     down = first_half if rules == NUMERIC else not first_half
@@ -110,16 +138,16 @@ def cycle(vertices: DataFrame, edges: DataFrame, total: int, first_half: bool, r
         "internalWeight", "nodeWeight", moved.alias("changed"),
     )
     totals = after.groupBy("community").agg(F.sum(F.col("nodeWeight") + F.col("internalWeight")).cast("bigint").alias("communitySigmaTot"))
-    out = lookup(after, totals, "community", rows or 0, "id", "inner") if rows else after.join(totals, "community")
+    out = lookup(after, totals, "community", hubs.vertices, "id", "inner")
     return out.select(*vertices.columns)
 
 
-def modularity(vertices: DataFrame, edges: DataFrame, total: int, rules: str = NUMERIC, count_isolated: bool = False, rows: int | None = None) -> DataFrame:
+def modularity(vertices: DataFrame, edges: DataFrame, total: int, rules: str = NUMERIC, count_isolated: bool = False, hubs: Hubs = NONE) -> DataFrame:
     """One row, q: the sum over vertices of k_in / M - sigma k / M^2, each taken as 0 where negative.
 
     Vertices without edges don't count, as their neighbourhood is empty, unless count_isolated is set."""
-    inside = community_messages(vertices, edges, rules, rows).select("id", "c", "w")
-    own = (lookup(inside, vertices.select("id", "community"), "id", rows, "c", "inner") if rows else inside.join(vertices.select("id", "community"), "id")).groupBy("id").agg(F.sum(F.when(F.col("c") == F.col("community"), F.col("w")).otherwise(F.lit(0))).alias("w"))
+    inside = community_messages(vertices, edges, rules, hubs).select("id", "c", "w")
+    own = lookup(inside, vertices.select("id", "community"), "id", hubs.rows, "c", "inner", hot=hubs.receivers).groupBy("id").agg(F.sum(F.when(F.col("c") == F.col("community"), F.col("w")).otherwise(F.lit(0))).alias("w"))
     met = vertices.join(own, "id", "left" if count_isolated or rules == TEXT else "inner")
     k, m = F.col("nodeWeight") + F.col("internalWeight"), F.lit(float(total))
     q = (F.col("internalWeight") + F.coalesce("w", F.lit(0))) / m - F.col("communitySigmaTot").cast("double") * k.cast("double") / (m * m)
@@ -136,13 +164,13 @@ def one_level(
 ) -> Level:
     """Cycles in pairs until too few vertices move."""
     vertices, edges = tables.table(vertices, "vertices"), tables.table(edges, "edges")
-    total, rows = total_weight(vertices), 2 * edges.row_count
+    total, hubs = total_weight(vertices), Hubs.of(vertices, edges, tables, rules)
     count = stop = moved = last = 0
     history: list[int] = []
     while edges.row_count:
         count += 1
         first_half = count % 2 == 1
-        after = tables.table(cycle(vertices, edges, total, first_half, rules, rows), "vertices", n=F.count(F.when(F.col("changed"), 1)))
+        after = tables.table(cycle(vertices, edges, total, first_half, rules, hubs), "vertices", n=F.count(F.when(F.col("changed"), 1)))
         if rules == TEXT:  # whether a vertex moved in the pass, not how often, is counted
             flag = after.select("id", "changed") if first_half else flag.join(after.select("id", F.col("changed").alias("again")), "id").select("id", (F.col("changed") | F.col("again")).alias("changed"))
             moved = after.metrics["n"] if first_half else flag.filter("changed").count()
@@ -163,8 +191,8 @@ def one_level(
         last = moved
         if stop > progress_counter or not moved or count >= MAX_CYCLES:
             break
-    q = modularity(vertices, edges, total, rules, count_isolated, rows).first().q if total else 0.0
-    return Level(vertices, edges, q, count // 2)
+    q = modularity(vertices, edges, total, rules, count_isolated, hubs).first().q if total else 0.0
+    return Level(vertices, edges, q, count // 2, hubs)
 
 
 def compress(vertices: DataFrame, edges: DataFrame, rules: str = NUMERIC, rows: int | None = None) -> tuple[DataFrame, DataFrame]:

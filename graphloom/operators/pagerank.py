@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.balance import known_hot
 from graphloom.graph import distinct_nodes
 from graphloom.operators.bsp import rounds, send
 from graphloom.scratch import Scratch
@@ -30,8 +31,9 @@ def _push(edges: DataFrame, start, first, delta: float | None, relative: bool, m
     least = F.lit(float(delta) / n if relative else float(delta))
     # diff is what came last, and null for nodes that received nothing in the last round: those do not send again
     state = tables.table(nodes.select("id", F.lit(start(n)).alias("rank"), F.lit(first(n)).alias("diff")), "ranks")
+    hot, m = known_hot(tables, shares, "src", shares.row_count)
     for _ in rounds(max_rounds, "PageRank"):
-        sent = send(shares, state.filter(F.col("diff") > least).select("id", "diff"), shares.row_count)
+        sent = send(shares, state.filter(F.col("diff") > least).select("id", "diff"), m, hot=hot)
         merged = sent.groupBy(F.col("dst").alias("id")).agg((F.lit(DAMPING) * F.sum(F.col("diff") * F.col("share"))).alias("got"))
         step = state.join(merged, "id", "left").select("id", (F.col("rank") + F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("got").alias("diff"))
         step = tables.table(step, "ranks", n=F.count("diff"))
@@ -63,8 +65,9 @@ def pagerank_power(edges: DataFrame, damping: float = DAMPING, tolerance: float
     n = max(1, nodes.row_count)
     before = nodes
     state = nodes.select("id", F.lit(1.0 / n).alias("rank"))
+    hot, m = known_hot(tables, shares, "src", shares.row_count)
     for r in rounds(max_rounds, "PageRank"):
-        got = send(shares, state, shares.row_count).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        got = send(shares, state, m, hot=hot).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         new = F.lit((1 - damping) / n) + F.lit(damping) * F.coalesce("got", F.lit(0.0))
         step = state.join(got, "id", "left").select("id", new.alias("rank"), (F.abs(new - F.col("rank")) / F.col("rank")).alias("change"))
         step = tables.table(step, "ranks", change=F.max("change"))

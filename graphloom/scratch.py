@@ -10,6 +10,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections import Counter
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -39,6 +40,7 @@ class Scratch:
         self.spark = spark
         self.folder = f"{root(spark)}/graphloom-{label}-{uuid.uuid4().hex[:12]}"
         self.made = 0  # tables written so far
+        self.written: Counter[str] = Counter()  # of each name
         atexit.register(self._remove, self.folder)
 
     def _remove(self, place: str) -> None:
@@ -53,6 +55,7 @@ class Scratch:
         """Write df and return it as read from its files. Its number of rows and further aggregates, all taken while
         writing and not by another job, are in ``row_count`` and ``metrics``."""
         self.made += 1
+        self.written[name] += 1
         place = f"{self.folder}/{self.made:03d}-{name}"
         seen = Observation()
         with released_shuffles(self.spark):
