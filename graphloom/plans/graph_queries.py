@@ -172,18 +172,25 @@ def louvain_initial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return louvain.initial(edge_list(spark, sf_dir))[0].select(*_STATE)
 
 
+def _start(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, louvain.Hubs]:
+    tables = Scratch(spark, "start")
+    v, e = (tables.table(t) for t in louvain.initial(edge_list(spark, sf_dir)))
+    return v, e, louvain.Hubs.of(v, e, tables, louvain.NUMERIC)
+
+
 def louvain_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return louvain.community_messages(*louvain.initial(edge_list(spark, sf_dir))).select("id", "c", "cSigma", "w")
+    v, e, hubs = _start(spark, sf_dir)
+    return louvain.community_messages(v, e, hubs=hubs).select("id", "c", "cSigma", "w")
 
 
 def louvain_best_move(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, e = louvain.initial(edge_list(spark, sf_dir))
-    return louvain.best_moves(v, louvain.community_messages(v, e), louvain.total_weight(v)).select("id", "best")
+    v, e, hubs = _start(spark, sf_dir)
+    return louvain.best_moves(v, louvain.community_messages(v, e, hubs=hubs), louvain.total_weight(v), hubs=hubs).select("id", "best")
 
 
 def louvain_one_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, e = louvain.initial(edge_list(spark, sf_dir))
-    return louvain.cycle(v, e, louvain.total_weight(v), True).select(*_STATE, "changed")
+    v, e, hubs = _start(spark, sf_dir)
+    return louvain.cycle(v, e, louvain.total_weight(v), True, hubs=hubs).select(*_STATE, "changed")
 
 
 def _level0(spark: SparkSession, sf_dir: str) -> louvain.Level:
@@ -199,7 +206,7 @@ def louvain_level0(spark: SparkSession, sf_dir: str) -> DataFrame:
 def louvain_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The modularity of the first level."""
     level = _level0(spark, sf_dir)
-    return louvain.modularity(level.vertices, level.edges, louvain.total_weight(level.vertices)).select(F.round("q", 9).alias("q"))
+    return louvain.modularity(level.vertices, level.edges, louvain.total_weight(level.vertices), hubs=level.hubs).select(F.round("q", 9).alias("q"))
 
 
 def louvain_compress(spark: SparkSession, sf_dir: str) -> DataFrame:

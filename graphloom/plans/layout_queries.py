@@ -52,6 +52,12 @@ def sink_betweenness_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.set_lines(_high(spark, sf_dir))
 
 
+def sink_betweenness_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of the run but for its time, its rounds and the last change of the set."""
+    stats = text.betweenness_stats(_high(spark, sf_dir), {}, 0.0)
+    return text.stats_lines(spark, {k: v for k, v in stats.items() if k not in ("seconds", "rounds", "last_difference")})
+
+
 def sink_level_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = _level0(spark, sf_dir)
     return level.vertices.select(text.state_line(level.vertices))
@@ -148,7 +154,7 @@ def node_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        sink_edges, sink_components, sink_ranks, sink_tab_vertices, sink_betweenness, sink_betweenness_set, sink_level_vertices, sink_level_edges, sink_q_values,
+        sink_edges, sink_components, sink_ranks, sink_tab_vertices, sink_betweenness, sink_betweenness_set, sink_betweenness_stats, sink_level_vertices, sink_level_edges, sink_q_values,
         sink_neighbors, sink_folded_edges, sink_community_vertices, sink_dendrogram, edge_text_values, edge_text_ignored_values, edge_text_addresses, names_as_seen,
         community_lines, spread_in, spread_either, node_sample,
     )

@@ -145,6 +145,8 @@ ORACLES = {
     "sink_tab_vertices": _RANKS.format("SELECT id || chr(9) || rank AS value"),
     "sink_betweenness": f"{_HIGH} SELECT id || ',' || round(betweenness, 4) AS value FROM h",
     "sink_betweenness_set": f"{_HIGH} SELECT CAST(id AS VARCHAR) AS value FROM top",
+    "sink_betweenness_stats": f"""WITH {_U}, v AS (SELECT src AS id FROM u UNION SELECT dst FROM u)
+        SELECT unnest(['set_size,10', 'stability,0', 'stability_counter,5', 'pivot_limit,10', 'batch,6', 'pivots_selected,12', 'pivots_percent,' || 100.0::DOUBLE * 12 / count(*), 'cycles,2']) AS value FROM v""",
     "sink_level_vertices": f"""WITH {_RUN} SELECT '(' || id || ',{{name:' || id || ',community:' || community || ',communityName:' || community || ',communitySigmaTot:' || CAST(sigma AS BIGINT)
         || ',internalWeight:0,nodeWeight:' || CAST(k AS BIGINT) || '}})' AS value FROM v0_4""",
     "sink_level_edges": f"WITH {_RUN} SELECT 'Edge(' || src || ',' || dst || ',' || CAST(weight AS BIGINT) || ')' AS value FROM e0",

@@ -49,9 +49,17 @@ def write_high_betweenness(found: HighBetweenness, path: str, delimiter: str = "
 
 
 def betweenness_stats(found: HighBetweenness, settings: dict, seconds: float) -> dict:
-    """The figures of a run: settings, pivots, cycles and seconds."""
+    """The figures of a run: settings, pivots, cycles, rounds and seconds."""
     n = found.betweenness.count()
-    return {**settings, "pivots_selected": found.pivots, "pivots_percent": 100 * found.pivots / max(1, n), "cycles": found.cycles, "last_difference": found.last_difference, "seconds": seconds}
+    return {
+        **(found.settings or {}), **settings, "pivots_selected": found.pivots, "pivots_percent": 100 * found.pivots / max(1, n), "cycles": found.cycles,
+        "rounds": found.rounds, "last_difference": found.last_difference, "seconds": seconds,
+    }
+
+
+def stats_lines(spark: SparkSession, stats: dict) -> DataFrame:
+    """name,value of every figure."""
+    return spark.createDataFrame([(f"{k},{v}",) for k, v in stats.items()], "value string")
 
 
 def set_lines(found: HighBetweenness) -> DataFrame:
@@ -63,7 +71,7 @@ def write_set_and_stats(found: HighBetweenness, stats: dict, path: str) -> None:
     """final_set.csv with the ids of the top set, stats.csv with the figures."""
     spark = found.top.sparkSession
     write(set_lines(found), f"{path}/final_set.csv", single=True)
-    write(spark.createDataFrame([(f"{k},{v}",) for k, v in stats.items()], "value string"), f"{path}/stats.csv", single=True)
+    write(stats_lines(spark, stats), f"{path}/stats.csv", single=True)
 
 
 def state_line(columns: DataFrame) -> Column:
