@@ -251,6 +251,61 @@ def test_betweenness_against_brute_force_and_top_k(spark):
     assert found.pivots == 8 and found.cycles == 2 and found.top.count() == 4
 
 
+def _betweenness_in_few_jobs(spark, edges, kind="bigint", **how):
+    """id to betweenness; a search of many rounds must not be as many jobs."""
+    import uuid
+
+    df = spark.createDataFrame(edges, f"src {kind}, dst {kind}, weight bigint")
+    context, group = spark.sparkContext, uuid.uuid4().hex
+    context.setJobGroup(group, "betweenness")
+    try:
+        got = labels(betweenness.betweenness(df, **how), "betweenness")
+        assert len(context.statusTracker().getJobIdsForGroup(group)) < 40
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    return got
+
+
+def _ladder(lengths):
+    """Thirty steps with two ways round at each, an end that nothing leaves and a loop."""
+    rng = random.Random(3)
+    out = []
+    for i in range(30):
+        a, b, c, d = 3 * i, 3 * i + 1, 3 * i + 2, 3 * i + 3
+        out += [(x, y, rng.choice(lengths)) for x, y in ((a, b), (a, c), (b, d), (c, d), (d, a))]
+    return [*out, (7, 200, 1), (201, 201, 1)]
+
+
+def test_exact_betweenness_of_a_long_graph_takes_few_jobs(spark):
+    edges = _ladder([1])
+    assert _betweenness_in_few_jobs(spark, edges) == pytest.approx(brute_betweenness(edges))
+
+
+@pytest.mark.parametrize("why", ["edges", "lengths"])
+def test_exact_betweenness_in_batches_where_a_task_cannot_hold_it(spark, monkeypatch, why):
+    from graphloom.operators import all_pivots
+
+    if why == "edges":
+        monkeypatch.setattr(all_pivots, "MOST_PAIRS", 5)
+    edges = [(1, 2, 1), (1, 3, 1), (2, 4, 1), (3, 4, 1), (4, 5, 2 if why == "edges" else 2**61), (4, 6, 2)]
+    got = labels(betweenness.betweenness(spark.createDataFrame(edges, "src bigint, dst bigint, weight bigint")), "betweenness")
+    assert got == {1: 0, 2: 1.5, 3: 1.5, 4: 6, 5: 0, 6: 0}
+
+
+def test_pieces_of_blocks_give_the_same(monkeypatch):
+    import numpy as np
+
+    from graphloom.operators import all_pivots
+
+    edges = np.array(_ladder([1, 2, 3])[:-2])
+    n = int(edges[:, :2].max()) + 1
+    whole, small = [], (1, 7, 400)
+    for at_once in (all_pivots.AT_ONCE, *small):
+        monkeypatch.setattr(all_pivots, "AT_ONCE", at_once)
+        whole.append(all_pivots.summed_dependencies(n, edges[:, 0], edges[:, 1], edges[:, 2], np.arange(n)))
+    assert all(x == pytest.approx(whole[0]) for x in whole) and whole[0].sum() > 0
+
+
 def test_propagate_and_sampling(spark):
     edges = graph(spark, "1,2 2,3 3,4 5,4")
     nodes = spark.createDataFrame([(i,) for i in range(1, 6)], "id bigint")
