@@ -281,6 +281,11 @@ def test_exact_betweenness_of_a_long_graph_takes_few_jobs(spark):
     assert _betweenness_in_few_jobs(spark, edges) == pytest.approx(brute_betweenness(edges))
 
 
+def test_betweenness_with_lengths_takes_few_jobs(spark):
+    edges = [*_ladder([1, 2, 0, None]), (0, 90, 150), (90, 0, 2**40)]
+    assert _betweenness_in_few_jobs(spark, edges) == pytest.approx(brute_betweenness([(a, b, w if w != 2**40 else 10**8) for a, b, w in edges]))
+
+
 @pytest.mark.parametrize("why", ["edges", "lengths"])
 def test_exact_betweenness_in_batches_where_a_task_cannot_hold_it(spark, monkeypatch, why):
     from graphloom.operators import all_pivots
