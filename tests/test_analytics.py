@@ -286,6 +286,23 @@ def test_betweenness_with_lengths_takes_few_jobs(spark):
     assert _betweenness_in_few_jobs(spark, edges) == pytest.approx(brute_betweenness([(a, b, w if w != 2**40 else 10**8) for a, b, w in edges]))
 
 
+def test_betweenness_with_one_predecessor_takes_few_jobs(spark):
+    """Of the two ways round, the one through the name that is larger as text carries all that lies behind."""
+    steps = [("9", "10"), ("x", "é"), ("b", "B")] * 5
+    edges, last = [], "0"
+    for i, (one, other) in enumerate(steps):
+        for mid in (one, other):
+            edges += [(last, f"{mid}/{i}", 1), (f"{mid}/{i}", f"step{i:02d}", 1)]
+        last = f"step{i:02d}"
+    want, behind = {"0": 0.0}, 3 * len(steps)
+    for i, (one, other) in enumerate(steps):
+        behind -= 3
+        before = 1 + 3 * i
+        big, small = sorted((f"{one}/{i}", f"{other}/{i}"), reverse=True)
+        want |= {big: before * (1 + behind), small: 0.0, f"step{i:02d}": (before + 2) * behind}
+    assert _betweenness_in_few_jobs(spark, edges, "string", ties="one") == want
+
+
 @pytest.mark.parametrize("why", ["edges", "lengths"])
 def test_exact_betweenness_in_batches_where_a_task_cannot_hold_it(spark, monkeypatch, why):
     from graphloom.operators import all_pivots
