@@ -314,6 +314,48 @@ def test_exact_betweenness_in_batches_where_a_task_cannot_hold_it(spark, monkeyp
     assert got == {1: 0, 2: 1.5, 3: 1.5, 4: 6, 5: 0, 6: 0}
 
 
+def _many_edges(n, m, lengths, seed=4):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    pairs = np.unique(rng.integers(0, n * n, m))
+    hub = np.arange(1, n)
+    pairs = np.unique(np.concatenate([pairs[pairs // n != pairs % n], hub, hub * n]))  # vertex 0 has edges from and to all
+    return pairs // n, pairs % n, rng.choice(lengths, len(pairs))
+
+
+@pytest.mark.parametrize("lengths", [[1], [1, 2], [3, 8], [5]])
+def test_searches_by_rows_and_by_pairs_give_the_same(lengths, monkeypatch):
+    import numpy as np
+
+    from graphloom.operators import all_pivots
+
+    n = 700
+    src, dst, w = _many_edges(n, 4000, lengths)
+    got = [all_pivots.summed_dependencies(n, src, dst, w, np.arange(5, n, 3))]
+    monkeypatch.setattr(all_pivots, "LONGEST", 0)
+    got.append(all_pivots.summed_dependencies(n, src, dst, w, np.arange(5, n, 3)))
+    assert got[0] == pytest.approx(got[1]) and got[0].sum() > 0
+
+
+def test_a_search_takes_little_time_a_pivot_and_edge():
+    import time
+
+    import numpy as np
+
+    from graphloom.operators import all_pivots
+
+    def taken(f):
+        began = time.thread_time()
+        f()
+        return time.thread_time() - began
+
+    n, pivots = 2000, np.arange(0, 2000, 16)
+    src, dst, w = _many_edges(n, 100_000, [1] * 20 + [2])
+    slowness = min(taken(lambda: sum(range(50_000))) for _ in range(50)) * 1000  # 1 on a usual machine
+    assert min(taken(lambda: all_pivots.summed_dependencies(n, src, dst, w, pivots)) for _ in range(3)) < 15e-9 * len(src) * len(pivots) * slowness
+
+
 def test_pieces_of_blocks_give_the_same(monkeypatch):
     import numpy as np
 
