@@ -36,12 +36,14 @@ CODES = {"en": ("en", "eng"), "de": ("de", "ger", "deu"), "fr": ("fr", "fra", "f
 _LANGUAGES = {w: [k for k, ws in COMMON.items() if w in ws] for ws in COMMON.values() for w in ws}
 HAN = "㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
 _TOKEN = re.compile(f"[{HAN}]|[^\\W_{HAN}]+")
-_HAN = re.compile(f"[{HAN}]")
+_HAN = re.compile(f"[{HAN}]+")
 _ENDS = frozenset(".!?:;,。！？：；，")
-#: The end of a sentence, or of lines.
-_CUT = re.compile(r"[.!?]+[\"'”’»)\]]*(?=[\s<]|$)|[。！？]+|\n+")
+#: The end of a sentence, or of lines. It begins with one set of characters, so that the search can skip to them.
+_CUT = re.compile(r"[.!?。！？\n](?:(?<=[.!?])[.!?]*[\"'”’»)\]]*(?=[\s<]|$)|(?<=[。！？])[。！？]*|(?<=\n)\n*)")
 _LISTED = re.compile(r"[,;|\t&、·；，]")
-_DIGITS = re.compile(r"[0-9]+")
+#: Bytes of UTF-8: all of ASCII but letters and digits as spaces; all digits as 0.
+_SPACED = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
+_ZEROS = bytes(48 if 48 <= b < 58 else b for b in range(256))
 
 STATISTICS = (
     "word_count", "mean_word_length", "symbol_ratio", "line_punct_share", "common_word_share", "sentence_share", "distinct_line_share", "words_a_line",
@@ -68,11 +70,21 @@ LEAST_REFERENCE = 50
 OUTLIER_RANK = 0.05
 
 
+def _dense(text: str, spaces: list[str]) -> int:
+    """The characters but spaces, of which those in the text are given."""
+    return len(text) - sum(map(text.count, spaces))
+
+
+def _mapped(text: str, table: bytes) -> str:
+    return text.encode("utf-8", "surrogatepass").translate(table).decode("utf-8", "surrogatepass")
+
+
 class _Sentences:
     """Counts the characters (all but spaces) in running sentences, the same wording MOST_REPEATS times at most."""
 
-    def __init__(self, common: set[str], unstopped: bool):
-        self.common, self.unstopped, self.chars, self.seen = common, unstopped, 0, Counter()
+    def __init__(self, common: set[str], unstopped: bool, han: bool, spaces: list[str]):
+        self.common, self.unstopped, self.han, self.spaces = common, unstopped, han, spaces
+        self.found: dict[str, list[tuple[int, list[str]]]] = {}  # by the last word that is no number: as many have the same wording at most
 
     def add(self, pieces: list[str], tokens: list[list[str]], ended: bool) -> None:
         words = tokens[0] if len(tokens) == 1 else [t for ts in tokens for t in ts]
@@ -80,20 +92,34 @@ class _Sentences:
         if n < LEAST_WORDS:
             return
         text = pieces[0] if len(pieces) == 1 else "\n".join(pieces)
-        dense, letters = len("".join(text.split())), sum(map(len, words))
+        dense, letters = _dense(text, self.spaces), len("".join(words))
         plain = text.isascii()
-        han = not plain and 2 * sum(map(len, _HAN.findall(text))) > n
+        han = self.han and not plain and 2 * sum(map(len, _HAN.findall(text))) > n
         if letters < LEAST_LETTERS * dense or (plain and letters > LONGEST_WORDS * n):
             return
-        if sum(map(self.common.__contains__, words)) < (LEAST_COMMON_HAN if han else LEAST_COMMON) * n:
+        common = self.common
+        if len([1 for w in words if w in common]) < (LEAST_COMMON_HAN if han else LEAST_COMMON) * n:
             return
         if not ended or n > (MOST_WORDS_HAN if han else MOST_WORDS) or dense > MOST_CHARS:
             if not self.unstopped or n < LONG_LINE * len(pieces) or len(_LISTED.findall(text)) * WORDS_A_SIGN > n or len(set(words)) < DISTINCT_WORDS:
                 return
-        wording = " ".join([w for w in words if not w.isdigit()])
-        self.seen[wording] += 1
-        if self.seen[wording] <= MOST_REPEATS:
-            self.chars += dense
+        last = next((w for w in reversed(words) if not w.isdigit()), "") if words[-1].isdigit() else words[-1]
+        self.found.setdefault(last, []).append((dense, words))
+
+    def chars(self) -> int:
+        total = 0
+        for same in self.found.values():
+            if len(same) <= MOST_REPEATS:
+                for dense, _ in same:
+                    total += dense
+                continue
+            seen: Counter[str] = Counter()
+            for dense, words in same:
+                wording = " ".join([w for w in words if not w.isdigit()])
+                seen[wording] += 1
+                if seen[wording] <= MOST_REPEATS:
+                    total += dense
+        return total
 
 
 def statistics(text: str | None) -> tuple | None:
@@ -101,29 +127,42 @@ def statistics(text: str | None) -> tuple | None:
     if not text or text.isspace():
         return None
     low, pieces, at = text.lower(), [], 0
+    used = set(low)
+    spaces, others = [c for c in used if c.isspace()], [c for c in used if c > "\x7f"]
+    han = sum(map(len, _HAN.findall(low))) if _HAN.search("".join(others)) else 0
+    if han:
+        words_of, spaced = _TOKEN.findall, low
+    else:  # the same words in less time: what is in none as spaces, place by place
+        words_of, spaced = str.split, _mapped(low, _SPACED)
+        for c in others:
+            if not c.isalnum():
+                spaced = spaced.replace(c, " ")
     for m in _CUT.finditer(low):
-        broken = m[0][0] == "\n"
-        piece = low[at : m.start() if broken else m.end()]
-        at = m.end()
-        pieces.append((piece, _TOKEN.findall(piece), broken, broken and m.end() - m.start() > 1))
-    pieces.append((low[at:], _TOKEN.findall(low[at:]), True, True))
-    tally: Counter[str] = Counter()
-    for p in pieces:
-        tally.update(p[1])
-    words, chars = tally.total(), sum(len(t) * n for t, n in tally.items())
+        start, end = m.span()
+        broken = low[start] == "\n"
+        if broken:
+            piece, words = low[at:start], words_of(spaced[at:start])
+        else:
+            piece, words = low[at:end], words_of(spaced[at:end])
+        at = end
+        pieces.append((piece, words, broken, broken and end - start > 1))
+    pieces.append((low[at:], words_of(spaced[at:]), True, True))
+    every = [t for p in pieces for t in p[1]]
+    tally = Counter(every)
+    words, chars = len(every), len("".join(every))
     votes, common = dict.fromkeys(COMMON, 0), 0
     for t in tally.keys() & _LANGUAGES.keys():
         common += tally[t]
         for k in _LANGUAGES[t]:
             votes[k] += tally[t]
-    if not low.isascii() and 2 * len(_HAN.findall(low)) > words:
+    if 2 * han > words:
         lang = "zh"
     else:
         lang, n = max(votes.items(), key=lambda kv: kv[1])
         lang = lang if n * 20 >= words and n else None
     # of languages without a list the short words that the text itself repeats, in sentences with a full stop alone
     known = set(_LANGUAGES) if lang else {t for t, n in tally.items() if n > 2 and len(t) < 5 and t.isalpha()} | set(_LANGUAGES)
-    found, held, tokens = _Sentences(known, lang is not None), [], []
+    found, held, tokens = _Sentences(known, lang is not None, han > 0, spaces), [], []
     for piece, ts, broken, blank in pieces:
         if piece:
             held.append(piece)
@@ -133,12 +172,14 @@ def statistics(text: str | None) -> tuple | None:
             held, tokens = [], []
     if held:
         found.add(held, tokens, False)
-    dense = len("".join(text.split()))
-    lines = [x for x in map(str.strip, _DIGITS.sub("0", low).split("\n")) if x]
+    dense, numbers = _dense(text, spaces), _mapped(low, _ZEROS)
+    while "00" in numbers:
+        numbers = numbers.replace("00", "0")
+    lines = [x for x in map(str.strip, numbers.split("\n")) if x]
     ending, distinct = sum(x[-1] in _ENDS for x in lines), len(set(lines))
     return (
         lang, words, chars / words if words else 0.0, max(0, dense - chars) / dense, ending / len(lines), common / words if words else 0.0,
-        found.chars / dense, distinct / len(lines), words / len(lines),
+        found.chars() / dense, distinct / len(lines), words / len(lines),
     )
 
 
